@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash
+from . import mixing, packing, quality, simhash, urls, vectors, warc
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_pack": packing.op6_pack,
     "op7_simhash": simhash.op7_simhash,
+    "op9_near_vectors": vectors.op9_near_vectors,
+    "op10_warc": warc.op10_warc,
 }
 SQL = {"op3_mix_sources": mixing.OP3_SQL}
