@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, urls, vectors, warc
+from . import language, mixing, packing, quality, simhash, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_repeats": substrings.op5_repeats,
     "op6_pack": packing.op6_pack,
     "op7_simhash": simhash.op7_simhash,
+    "op8_language": language.op8_language,
     "op9_near_vectors": vectors.op9_near_vectors,
     "op10_warc": warc.op10_warc,
 }
