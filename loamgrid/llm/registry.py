@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, simhash, substrings, urls, vectors, warc
+from . import language, lines, mixing, packing, quality, simhash, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_repeats": substrings.op5_repeats,
