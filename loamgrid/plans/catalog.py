@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import base, clean, covers, drainage, grid, haul, ledger, scalars, streams, surface, tables  # noqa: F401  each registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL = base.QUERIES, base.SQL
