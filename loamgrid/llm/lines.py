@@ -13,15 +13,21 @@ COUNTERS = 1 << 16
 _HASH = (1 << 48) - 1
 
 
-def words(line: Column) -> Column:
-    """The line's words, each once. Rare spaces become blanks first, so that the quick split at one character will do."""
+def _raw_words(line: Column) -> Column:
+    """The line's words and perhaps some empty ones. Rare spaces become blanks first, so that the quick split at one character will do."""
     rare = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.array_remove(F.array_distinct(F.split(F.when(rare, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line), " ")), "")
+    return F.split(F.when(rare, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line), " ")
+
+
+def words(line: Column) -> Column:
+    """The line's words, each once."""
+    return F.array_remove(F.array_distinct(_raw_words(line)), "")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, no, line) of docs (doc_id, text); text_key tells repeated rows of a doc_id apart."""
-    return docs.select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    """(doc_id, text_key, no, line) of the lines with a word of docs (doc_id, text); text_key tells repeated rows of a doc_id apart."""
+    lines = docs.select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return lines.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def _text_key() -> Column:
@@ -31,7 +37,7 @@ def _text_key() -> Column:
 def frequencies(lines: DataFrame) -> list[int]:
     """A rank by frequency for each counter: 1 plus eight times the binary logarithm of how often its tokens occur in all lines. COUNTERS rows at most go to the driver."""
     out = [0] * COUNTERS
-    counters = lines.select(F.explode(words(F.col("line"))).alias("t")).groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("counter"))
+    counters = lines.select(F.explode(_raw_words(F.col("line"))).alias("t")).groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("counter"))
     for row in counters.agg((1 + F.floor(8 * F.log2(F.count("*")))).cast("int").alias("rank")).collect():
         out[row["counter"]] = row["rank"]
     return out
@@ -41,8 +47,9 @@ def with_keys(lines: DataFrame, ranks: list[int]) -> DataFrame:
     """lines with n (words) and k: the words as numbers in order of rarity, equal in all lines (rank, then 48 bits of the hash)."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded to one literal
     key = lambda h: F.shiftleft(F.element_at(table, (h.bitwiseAND(F.lit(COUNTERS - 1)) + 1).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(_HASH)))
-    k = F.sort_array(F.transform(F.transform(words(F.col("line")), lambda t: F.xxhash64(t)), key))
-    return lines.withColumn("k", k).withColumn("n", F.size("k"))
+    hashes = F.array_remove(F.array_distinct(F.transform(_raw_words(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    k = F.sort_array(F.transform(hashes, key))
+    return lines.withColumn("k", F.explode(F.array(k))).withColumn("n", F.size("k"))  # explode keeps k from being worked out at each use
 
 
 def prefixes(lines: DataFrame, *also: str) -> DataFrame:
@@ -54,7 +61,7 @@ def prefixes(lines: DataFrame, *also: str) -> DataFrame:
     one = F.lit(1).cast("long")
     flip = lambda low: lambda a, x: a.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == (0 if low else 64), F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
     sig = [F.aggregate("k", F.lit(0).cast("long"), flip(low)).alias(name) for low, name in ((True, "s1"), (False, "s2"))]
-    cut = lines.where("n > 0").select("id", "n", *also, F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), *sig)
+    cut = lines.select("id", "n", *also, F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), *sig)
     return cut.select("id", "n", *also, "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
 
 
@@ -82,12 +89,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = split_lines(docs)
-    keyed = with_keys(lines, frequencies(lines)).where("n > 0").withColumn("id", F.xxhash64("k")).withColumn("id2", F.xxhash64(F.lit("again"), "k"))
+    named = lines.withColumn("id", F.xxhash64("line"))
     place = F.struct("doc_id", "text_key", "no")
-    occurs = staged(keyed.select("doc_id", "text_key", "no", "id", "id2"), "line-occurrences")
+    occurs = staged(named.select("doc_id", "text_key", "no", "id", F.xxhash64(F.lit("again"), "line").alias("id2")), "line-occurrences")
     # 1. Lines with any plausible partner: rows of ten or so numbers a line meet by word, and none is doubled by a match.
-    rows = prefixes(keyed)
-    found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & plausible("a", "b"), "left_semi")
+    rows = prefixes(with_keys(named.select("id", "line"), frequencies(lines)))
+    found = rows.alias("a").join(rows.alias("b").hint("shuffle_hash"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & plausible("a", "b"), "left_semi")
     chosen = staged(found.select("id").distinct(), "line-chosen")
     collect_garbage(spark)
     firsts = staged(occurs.groupBy("id", "id2").agg(F.min(place).alias("at")), "line-firsts")
