@@ -19,7 +19,7 @@ MAX_COVERED = 0.4
 MAX_LONGEST_SHARE = 0.34
 MAX_LONGEST = 1000
 #: Words whose suffix arrays are built together in one task.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
 
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, covered_words long, longest_repeat long, kept boolean"
 
@@ -87,28 +87,32 @@ def repetition(words_of: list[list[bytes]], min_repeat: int) -> list[tuple[int,
 
 def judge(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest_share: float = MAX_LONGEST_SHARE, max_longest: int = MAX_LONGEST) -> list[dict]:
     """The columns of VERDICT for each text."""
-    raw = [(t or "").encode() for t in texts]
-    words_of = [r.split() for r in raw]
-    found: list[tuple[int, int, int]] = []
-    block: list[list[bytes]] = []
+    out: list[dict] = []
+    block: list[tuple[str, bytes, list[bytes]]] = []
     size = 0
-    for w in words_of:  # many short texts share a suffix array, a long one has its own
-        if block and size + len(w) > BLOCK_WORDS:
-            found += repetition(block, min_repeat)
+
+    def flush() -> None:
+        found = repetition([words for _, _, words in block], min_repeat)
+        for (t, raw, words), (windows, covered, longest) in zip(block, found, strict=True):
+            n = len(words)
+            lines = [x for x in raw.split(b"\n") if x.split()]
+            base = n < 50 or 100 * windows > 50 * n
+            repeats = longest >= min_repeat and (longest > max_longest or longest > max_longest_share * n)
+            out.append({
+                "n_words": n, "word_chars": len(t) - sum(map(t.count, SPACE_CHARS)), "n_symbols": sum(map(t.count, SYMBOLS)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": windows,
+                "base_failed": base, "covered_words": covered, "longest_repeat": longest, "kept": not (base or covered > max_covered * n or repeats),
+            })
+
+    for t in texts:  # many short texts share a suffix array, a long one has its own; the words of one block are held at a time
+        raw = (t or "").encode()
+        words = raw.split()
+        if block and size + len(words) > BLOCK_WORDS:
+            flush()
             block, size = [], 0
-        block.append(w)
-        size += len(w)
-    found += repetition(block, min_repeat) if block else []
-    out = []
-    for t, words, (windows, covered, longest) in zip(texts, words_of, found, strict=True):
-        t, n = t or "", len(words)
-        lines = [x for x in t.encode().split(b"\n") if x.split()]
-        base = n < 50 or 100 * windows > 50 * n
-        repeats = longest >= min_repeat and (longest > max_longest or longest > max_longest_share * n)
-        out.append({
-            "n_words": n, "word_chars": len(t) - sum(map(t.count, SPACE_CHARS)), "n_symbols": sum(map(t.count, SYMBOLS)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": windows,
-            "base_failed": base, "covered_words": covered, "longest_repeat": longest, "kept": not (base or covered > max_covered * n or repeats),
-        })
+        block.append((t or "", raw, words))
+        size += len(words)
+    if block:
+        flush()
     return out
 
 
