@@ -9,7 +9,7 @@ from .common import collect_garbage, discard, read, staged
 
 #: Jaccard similarity of the sets of words, 4/5, in whole numbers: 9 * shared >= 4 * (words of one + words of the other).
 #: Token frequencies are counted by hash, in so many counters.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 14
 _HASH = (1 << 48) - 1
 
 
