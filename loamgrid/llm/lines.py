@@ -122,7 +122,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any others) with the lines that removed_lines names taken out of text, and __n_lines and __n_removed.
 
-    Null texts stay null and have no lines. A text of which all lines go becomes empty.
+    Null texts stay null and have no lines. A text of which all lines go becomes empty. Names that begin with two
+    underscores are kept for the work, here as in the other operators; any other column passes through.
     """
     gone = removed_lines(docs.select("doc_id", "text")).groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("__nos")).toDF("__d", "__t", "__nos")
     keyed = docs.withColumn("__key", _text_key())
