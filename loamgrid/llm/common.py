@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
@@ -117,6 +116,3 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b)
