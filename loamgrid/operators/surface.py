@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BIN_M, FILL_RATIO, HASH_CELL_M, NEIGHBOURS, SMOOTH_SIGMA
+from ..constants import AROUND, BIN_M, FILL_RATIO, HASH_CELL_M, NEIGHBOURS, SMOOTH_SIGMA
 from . import grid
-from .loops import cut, fixpoint
+from .loops import by_blocks, cut, fixpoint
 
 c = F.col
 KEY = grid.KEY
@@ -32,23 +34,38 @@ def fill_gaps(cells: DataFrame, column: str = "z") -> DataFrame:
         ready = c("open") & ~F.coalesce("wait", F.lit(False))
         return both.select(*KEY, F.when(ready, c("mean")).otherwise(c("v")).alias("v"), "given", (c("open") & ~ready).alias("open"), ready.alias("changed"))
 
-    return fixpoint(state, step).select(*KEY, c("v").alias(column))
+    return fixpoint(state, step, max_rounds=100_000).select(*KEY, c("v").alias(column))
 
 
-def fill_gaps_8(cells: DataFrame, column: str = "z", least: int = 4) -> DataFrame:
-    """Missing bins with at least four known 8-neighbours get their mean; bins filled earlier in raster order count, so a bin waits for the four before it."""
+def fill_gaps_8(cells: DataFrame, column: str = "z", least: int = 4, block: int = 64) -> DataFrame:
+    """Missing bins with at least four known 8-neighbours get their mean; bins filled earlier in raster order count, so a bin waits for the four before it.
+
+    Blocks work through their bins in raster order as far as their neighbours' state allows; a round is one step of the
+    blocks' wavefront, not of the bins'.
+    """
     state = cells.select(*KEY, c(column).alias("v"), c(column).isNull().alias("open"))
 
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = rows["bx"].to_numpy(), rows["by_"].to_numpy(), rows["v"].to_numpy(dtype=float, na_value=np.nan)
+        own, waits = rows["own"].to_numpy(dtype=bool), rows["open"].to_numpy(dtype=bool).copy()
+        at = {p: i for i, p in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+        changed = np.zeros(len(v), bool)
+        for i in np.lexsort((x, y)):
+            if own[i] and waits[i]:
+                around = [at.get((x[i] + dx, y[i] + dy)) for dx, dy in AROUND]
+                if not any(j is not None and waits[j] for j in around[:4]):
+                    known = [v[j] for j in around if j is not None and not np.isnan(v[j])]
+                    v[i] = np.mean(known) if len(known) >= least else np.nan
+                    waits[i], changed[i] = False, True
+        out = rows.loc[own, KEY].copy()
+        out["v"], out["open"], out["changed"] = pd.array(v[own], dtype="Float64"), waits[own], changed[own]
+        return out
+
     def step(now: DataFrame) -> DataFrame:
-        sent = grid.neighbours(now, True, "v", "open")
-        got = sent.groupBy(*KEY).agg(F.max((c("k") < 4) & c("open")).alias("wait"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.count_if(c("v").isNotNull() | ((c("k") < 4) & c("open"))).alias("at_most"))
-        both = now.join(got, KEY, "left")
-        hopeless = c("open") & (F.coalesce("at_most", F.lit(0)) < least)
-        ready = c("open") & (hopeless | ~F.coalesce("wait", F.lit(False)))
-        value = F.when(ready & ~hopeless & (c("n") >= least), c("mean")).otherwise(c("v"))
-        return both.select(*KEY, value.alias("v"), (c("open") & ~ready).alias("open"), ready.alias("changed"))
+        got = by_blocks(now, solve, "field_id int, bx int, by_ int, v double, open boolean, changed boolean", block)
+        return got.withColumn("v", F.when(F.isnan("v"), F.lit(None)).otherwise(c("v")))
 
-    return fixpoint(state, step).select(*KEY, c("v").alias(column))
+    return fixpoint(state, step, max_rounds=100_000).select(*KEY, c("v").alias(column))
 
 
 def nearest_points(cells: DataFrame, points: DataFrame, k: int = NEIGHBOURS, cell_m: float = HASH_CELL_M, max_ring: int = 64) -> DataFrame:
