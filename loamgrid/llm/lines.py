@@ -9,7 +9,7 @@ from .common import collect_garbage, discard, read, staged
 
 #: Jaccard similarity of the sets of words, 4/5, in whole numbers: 9 * shared >= 4 * (words of one + words of the other).
 #: Token frequencies are counted by hash, in so many counters.
-COUNTERS = 1 << 14
+COUNTERS = 1 << 15
 _HASH = (1 << 48) - 1
 
 
@@ -94,7 +94,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     occurs = staged(named.select("doc_id", "text_key", "no", "id", F.xxhash64(F.lit("again"), "line").alias("id2")), "line-occurrences")
     # 1. Lines with any plausible partner: rows of ten or so numbers a line meet by word, and none is doubled by a match.
     rows = prefixes(with_keys(named.select("id", "line"), frequencies(lines)))
-    found = rows.alias("a").join(rows.alias("b").hint("shuffle_hash"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & plausible("a", "b"), "left_semi")
+    found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & plausible("a", "b"), "left_semi")
     chosen = staged(found.select("id").distinct(), "line-chosen")
     collect_garbage(spark)
     firsts = staged(occurs.groupBy("id", "id2").agg(F.min(place).alias("at")), "line-firsts")
