@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +56,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of jobs that are over: it learns of them by garbage collection, in more than one step."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

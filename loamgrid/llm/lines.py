@@ -104,6 +104,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     held = docs.select("doc_id", "text", _text_key()).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
     held = held.select("doc_id", "text_key", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select("x.id", F.struct("doc_id", "text_key", "x.no").alias("at"), F.element_at("all", F.col("x.no") + 1).alias("line"))
     held = staged(held.groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
+    discard(chosen)
+    collect_garbage(spark)
     rows = staged(prefixes(with_keys(held, frequencies(held)), "at"), "line-prefixes")
     # 3. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
     earliest = F.first(F.struct("id", "at", "n", "pos", "s1", "s2")).over(Window.partitionBy("tok").orderBy("at"))
