@@ -45,7 +45,7 @@ def g14(spark, sf) -> DataFrame:
     return drainage.receivers(_dem(spark, sf)).select(*KEY, "rx", "ry")
 
 
-_WALK = _D8.replace("WITH o AS", "WITH o AS") + ", t AS (SELECT bx, by_, bx AS tx, by_ AS ty, 0 AS n FROM f UNION ALL SELECT t.bx, t.by_, f.rx, f.ry, n + 1 FROM t JOIN f ON f.bx = t.tx AND f.by_ = t.ty WHERE f.rx IS NOT NULL)\n"
+_WALK = _D8 + ", t AS (SELECT bx, by_, bx AS tx, by_ AS ty, 0 AS n FROM f UNION ALL SELECT t.bx, t.by_, f.rx, f.ry, n + 1 FROM t JOIN f ON f.bx = t.tx AND f.by_ = t.ty WHERE f.rx IS NOT NULL)\n"
 
 
 @query("G15_terminals", _WALK + "SELECT 0 AS field_id, bx, by_, max_by(tx, n) AS tx, max_by(ty, n) AS ty FROM t GROUP BY bx, by_", "v_grid")

@@ -24,8 +24,8 @@ def r01(spark, sf) -> DataFrame:
 
 
 _SESSIONS = """WITH g AS (SELECT user_id AS machine_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY machine_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT machine_id, CAST(min(ts) AS VARCHAR) AS heard_from, count(*) AS n FROM s GROUP BY machine_id, k"""
+s AS (SELECT *, sum(new) OVER (PARTITION BY machine_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), t AS (SELECT machine_id, k, count(*) AS n FROM s GROUP BY machine_id, k)
+SELECT machine_id, count(*) AS n_sessions, max(n) AS longest FROM t GROUP BY machine_id"""
 
 
 @query("R05_link_sessions", None)
@@ -33,7 +33,7 @@ def r05(spark, sf) -> DataFrame:
     return live.link_sessions(_signals(spark.read.parquet(f"{sf}/events.parquet")), "6 hours")
 
 
-@query("R05_link_sessions_count", _SESSIONS.replace("SELECT machine_id, CAST(min(ts) AS VARCHAR) AS heard_from, count(*) AS n FROM s GROUP BY machine_id, k", ", t AS (SELECT machine_id, k, count(*) AS n FROM s GROUP BY machine_id, k) SELECT machine_id, count(*) AS n_sessions, max(n) AS longest FROM t GROUP BY machine_id"))
+@query("R05_link_sessions_count", _SESSIONS)
 def r05c(spark, sf) -> DataFrame:
     got = live.link_sessions(_signals(spark.read.parquet(f"{sf}/events.parquet")), "6 hours")
     return got.groupBy("machine_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
