@@ -72,7 +72,8 @@ def anchors(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _forest(home: np.ndarray, member: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges that join what is linked between home and member, one less than there are different fingerprints."""
-    near = np.bitwise_count(home[:, None] ^ member[None, :]) <= distance
+    # Of signed numbers bitwise_count counts the bits of the absolute value.
+    near = np.bitwise_count(home.view(np.uint64)[:, None] ^ member.view(np.uint64)[None, :]) <= distance
     seen, edges = np.zeros(len(member), bool), []
     done = np.zeros(len(home), bool)
     for i in range(len(home)):

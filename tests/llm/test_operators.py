@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql.functions import col
 
-from loamgrid.llm import language, lines, packing, quality, registry, substrings, urls, warc
+from loamgrid.llm import language, lines, packing, quality, registry, simhash, substrings, urls, warc
 
 
 def table(spark, d, name):
@@ -196,6 +196,22 @@ def test_op7_code_covers():
             assert home(x) == home(w) or home(x) in away
 
 
+def test_op7_links_across_the_sign_bit(spark):
+    """Pairs that differ in bit 63 and up to two others are linked; those that differ in all of 59 to 63 are not."""
+    rng = np.random.default_rng(7)
+    signed = lambda x: int(np.array([x], np.uint64).view(np.int64)[0])
+    near, far, ids = [], [], []
+    for flips in [(63,), (63, 0), (63, 1, 17), (63, 31, 59), (63, 62, 61), (5, 31, 40), (59, 60, 61, 62, 63), (0, 60, 61, 62, 63)]:
+        a = int(rng.integers(0, 1 << 63))
+        b = a ^ sum(1 << k for k in flips)
+        (near if len(flips) <= 3 else far).append((signed(a), signed(b)))
+        ids += [(signed(a),), (signed(b),)]
+    got = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame(ids, "fp long")).collect()}
+    assert got == {frozenset(p) for p in near}
+    for a, b in near + far:
+        assert bool(simhash._forest(np.array([a]), np.array([b]), 3)) == ((a, b) in near)
+
+
 def test_op8_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = language.with_language(docs.select("doc_id", "text", "lang"), language.fit(docs)).where(language.held_out(col("doc_id"))).toPandas()
