@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import lines, mixing, packing, quality, simhash
+from loamgrid.llm import lines, mixing, near, packing, quality
 from loamgrid.llm.common import read, staged
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, of five-word shingles, stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts linked by a similarity of 0.8 or more of their five-word shingles stays."""
+    return near.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
