@@ -157,8 +157,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row for each group of near-duplicates: that of the smallest doc_id."""
-    lowest = grouped(docs, width, similarity).groupBy("component").agg(F.min("doc_id").alias("__first")).select("__first").distinct()
-    got = docs.join(lowest, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    place = Window.partitionBy("doc_id").orderBy("doc_id")
+    """docs with one row for each group of near-duplicates: that of the smallest doc_id, null being the largest, then of the smallest hash of the text. Ids need not be there nor differ."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+    first = grouped(docs, width, similarity).groupBy("component").agg(F.min(row).alias("f")).select(F.col("f.doc_id").alias("__first"), F.col("f.h1").alias("__f1"), F.col("f.h2").alias("__f2"))
+    key = F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))
+    got = _named(docs).join(first, key, "left_semi")
+    # Rows of one doc_id and text are in one group.
+    place = Window.partitionBy("doc_id", "__h1", "__h2").orderBy("doc_id")
     return got.withColumn("__row", F.row_number().over(place)).where("__row = 1").select(*docs.columns)

@@ -73,3 +73,12 @@ def test_chunks(spark):
     want = roots([shingles(t) for t in texts])
     assert Counter(Counter(want).values()) == Counter(Counter(root[node[i]] for i in range(len(texts))).values())
     rows.unpersist()
+
+
+def test_ids_missing_and_shared(spark, tricky):
+    """Each group keeps exactly one row: different texts stay though their ids are null or the same."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(3)), (5, text(4)), (5, text(5)), (5, text(5)), (3, text(5)), (5, text(6)), (None, None), (None, ""), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, tricky).collect())
+    assert got == Counter([(None, text(1)), (None, text(2)), (7, text(3)), (5, text(4)), (3, text(5)), (5, text(6)), (9, " ")])
