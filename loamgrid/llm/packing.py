@@ -26,7 +26,8 @@ class Tokenizer:
 
     The same vocabulary as ranks encodes several times as fast, and ids come as one array; the tests hold it against
     the ``tokenizers`` library on the same file. The folder of the files is a parameter; None asks the installed
-    package.
+    package. What the ranks' library can't do (it refuses texts with about a million blanks in a row) goes to
+    ``tokenizers``.
     """
 
     def __init__(self, name: str = TOKENIZER, folder: str | None = None) -> None:
@@ -40,9 +41,21 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL[0]: SPECIAL[1]})
+        self._json = os.path.join(folder, f"{name}.json") if folder else public_tokenizers.path(f"{name}.json")
+        self._slow = None
 
     def ids(self, text: str) -> np.ndarray:
-        return self._bpe.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self._bpe.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # "Max stack size exceeded" in its regex
+            return self._whole(text)
+
+    def _whole(self, text: str) -> np.ndarray:
+        if self._slow is None:
+            from tokenizers import Tokenizer as Json
+
+            self._slow = Json.from_file(self._json)
+        return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _tokenizers: dict[tuple, Tokenizer] = {}

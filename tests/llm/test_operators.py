@@ -146,6 +146,18 @@ def test_op6_pieces_and_packing(spark, tricky):
     assert len(at) <= sum(r.length for r in got) / 1024 * 1.02 + 1
 
 
+def test_op6_long_runs_of_blanks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b " + c * 1_100_000 + "x<|endoftext|>é" for c in " \n"]
+    got = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "start", "ids").collect()
+    for i, text in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_op6_plan_holds_the_histogram():
     rng = np.random.default_rng(5)
     for lengths in (rng.integers(1, 1025, 3000), rng.integers(300, 420, 500), np.full(77, 513), np.zeros(0, int)):
