@@ -68,33 +68,36 @@ def fill_gaps_8(cells: DataFrame, column: str = "z", least: int = 4, block: int
     return fixpoint(state, step, max_rounds=100_000).select(*KEY, c("v").alias(column))
 
 
-def nearest_points(cells: DataFrame, points: DataFrame, k: int = NEIGHBOURS, cell_m: float = HASH_CELL_M, max_ring: int = 64) -> DataFrame:
-    """(field_id, bx, by_, seq, d2, place): the k nearest points (field_id, seq, x, y) of each cell (x, y), ties by seq.
+def nearest_points(cells: DataFrame, points: DataFrame, k: int = NEIGHBOURS, cell_m: float = HASH_CELL_M) -> DataFrame:
+    """(field_id, bx, by_, seq, d2, place): the k nearest points (field_id, seq, x, y) of each cell (x, y), ties by seq; all points where a field has fewer.
 
-    Points are hashed to squares of cell_m. In round r cells look at the squares in rings up to r; those whose k-th point
-    is no farther than the searched square reaches are done. Each round joins only the cells that are left.
+    Points are hashed to squares of cell_m. Cells look at their square and the eight about it; those whose k-th point is
+    no farther than these reach are done, and for the others the squares double until they hold all of the field. Each
+    round joins only the cells that are left. Cells and points without finite place are left out.
     """
-    square = lambda v: F.floor(c(v) / cell_m).cast("long")
-    hashed = points.select("field_id", "seq", c("x").alias("px"), c("y").alias("py"), square("x").alias("sx"), square("y").alias("sy"))
+    there = F.abs("x") + F.abs("y") < float("inf")
+    points, cells = points.where(there), cells.where(there)
     total = points.groupBy("field_id").agg(F.count("*").alias("total"))
     left = cut(cells.select(*KEY, "x", "y").join(total, "field_id"))
-    done, r = None, 1
+    done, size = None, cell_m
+    around = F.sequence(F.lit(-1), F.lit(1))
     while True:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        asked = left.withColumn("sx", F.explode(F.transform(span, lambda i: square("x") + i))).withColumn("sy", F.explode(F.transform(span, lambda i: square("y") + i)))
+        square = lambda v, size=size: F.floor(c(v) / size).cast("long")
+        hashed = points.select("field_id", "seq", c("x").alias("px"), c("y").alias("py"), square("x").alias("sx"), square("y").alias("sy"))
+        asked = left.withColumn("sx", F.explode(F.transform(around, lambda i: square("x") + i))).withColumn("sy", F.explode(F.transform(around, lambda i: square("y") + i)))
         met = asked.join(hashed, ["field_id", "sx", "sy"]).withColumn("d2", F.pow(c("px") - c("x"), 2) + F.pow(c("py") - c("y"), 2))
         w = Window.partitionBy(*KEY)
-        got = met.withColumn("place", F.row_number().over(w.orderBy("d2", "seq"))).where(c("place") <= k)
+        got = met.withColumn("place", F.row_number().over(w.orderBy("d2", "seq"))).withColumn("met", F.count("*").over(w)).where(c("place") <= k)
         got = got.withColumn("found", F.count("*").over(w)).withColumn("far", F.max("d2").over(w))
-        # A cell is at least r squares away from what the rings do not hold.
-        sure = ((c("found") >= F.least(F.lit(k), c("total"))) & (c("far") <= (r * cell_m) ** 2)) | (c("found") >= c("total")) | F.lit(r >= max_ring)
+        # A cell is at least one square away from what its nine squares do not hold.
+        sure = ((c("found") >= k) & (c("far") < size**2)) | (c("met") >= c("total"))
         got = cut(got.withColumn("sure", sure))
         take = got.where("sure").select(*KEY, "seq", "d2", "place")
         done = take if done is None else done.unionByName(take)
         left = cut(left.join(got.where("sure").select(*KEY).distinct(), KEY, "left_anti"))
-        if r >= max_ring or left.isEmpty():
+        if left.isEmpty():
             return done
-        r *= 2
+        size *= 2
 
 
 def local_planes(neighbours: DataFrame) -> DataFrame:
