@@ -23,10 +23,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a new local one, but only if driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="spark-loamgrid-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -63,6 +65,12 @@ def collect_garbage(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with columns by these names, which an operator needs for its own work, called otherwise; and the columns that give df's own names back."""
+    other = {c: c + "_of_the_input" if c in names else c for c in df.columns}
+    return df.withColumnsRenamed({c: o for c, o in other.items() if c != o}), [F.col(o).alias(c) for c, o in other.items()]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, discard, read, staged
+from .common import collect_garbage, discard, read, set_aside, staged
 
 #: Jaccard similarity of the sets of words, 4/5, in whole numbers: 9 * shared >= 4 * (words of one + words of the other).
 #: Token frequencies are counted by hash, in so many counters.
 COUNTERS = 1 << 15
-_HASH = (1 << 48) - 1
+_HASH_BITS = 48
 
 
 def _raw_words(line: Column) -> Column:
@@ -34,6 +34,11 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
+def _numbers(values: list[int]) -> Column:
+    """A list of numbers as one array literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def frequencies(lines: DataFrame) -> list[int]:
     """A rank by frequency for each counter: 1 plus eight times the binary logarithm of how often its tokens occur in all lines. COUNTERS rows at most go to the driver."""
     out = [0] * COUNTERS
@@ -45,96 +50,112 @@ def frequencies(lines: DataFrame) -> list[int]:
 
 def with_keys(lines: DataFrame, ranks: list[int]) -> DataFrame:
     """lines with n (words) and k: the words as numbers in order of rarity, equal in all lines (rank, then 48 bits of the hash)."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded to one literal
-    key = lambda h: F.shiftleft(F.element_at(table, (h.bitwiseAND(F.lit(COUNTERS - 1)) + 1).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(_HASH)))
-    hashes = F.array_remove(F.array_distinct(F.transform(_raw_words(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    k = F.sort_array(F.transform(hashes, key))
+    table = _numbers(ranks)
+
+    def key(t: Column) -> Column:
+        h = F.xxhash64(t)
+        return F.shiftleft(table[h.bitwiseAND(F.lit(COUNTERS - 1))], _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+
+    k = F.sort_array(F.array_remove(F.array_distinct(F.transform(_raw_words(F.col("line")), key)), key(F.lit(""))))
     return lines.withColumn("k", F.explode(F.array(k))).withColumn("n", F.size("k"))  # explode keeps k from being worked out at each use
 
 
-def prefixes(lines: DataFrame, *also: str) -> DataFrame:
-    """A row for each of the first n - ceil(4n/5) + 1 words (tok, at place pos) of lines (id, n, k), with a signature.
+def prefixes(lines: DataFrame) -> DataFrame:
+    """(tok, num, m, s1, s2): a row for each of the first n - ceil(4n/5) + 1 words of lines (num, n, k), in order of rarity.
 
-    Of two similar sets, these prefixes share a word. The signature holds, for 128 classes of words, whether their
-    number is odd: it differs in no more bits than the sets differ in words.
+    Of two similar sets, these prefixes share a word. m holds n and the word's place. The signature s1, s2 holds, for 128
+    classes of words, whether their number is odd: it differs in no more bits than the sets differ in words.
     """
-    one = F.lit(1).cast("long")
-    flip = lambda low: lambda a, x: a.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == (0 if low else 64), F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
-    sig = [F.aggregate("k", F.lit(0).cast("long"), flip(low)).alias(name) for low, name in ((True, "s1"), (False, "s2"))]
-    cut = lines.select("id", "n", *also, F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), *sig)
-    return cut.select("id", "n", *also, "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
+    bit = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+    halves = {"s1": _numbers(bit + [0] * 64), "s2": _numbers([0] * 64 + bit)}
+    parities = lambda t: F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(t[x.bitwiseAND(F.lit(127))]))
+    sig = [parities(t).alias(name) for name, t in halves.items()]
+    cut = lines.select("num", "n", F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), *sig)
+    cut = cut.select("num", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
+    return cut.select("tok", "num", F.expr("shiftleft(cast(n AS bigint), 32) | pos").alias("m"), "s1", "s2")
 
 
 def plausible(a: str, b: str) -> Column:
     """Whether rows with a shared prefix word pass the length, positional and signature filters."""
+    n, left = "({0}.m >> 32)", "(({0}.m >> 32) - ({0}.m & 4294967295))"
+    na, nb, la, lb = n.format(a), n.format(b), left.format(a), left.format(b)
     return F.expr(
-        f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND 9 * (least({a}.n - {a}.pos, {b}.n - {b}.pos)) >= 4 * ({a}.n + {b}.n)"
-        f" AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {a}.n + {b}.n - 2 * ((4 * ({a}.n + {b}.n) + 8) div 9)"
+        f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND 9 * least({la}, {lb}) >= 4 * ({na} + {nb})"
+        f" AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {na} + {nb} - 2 * ((4 * ({na} + {nb}) + 8) div 9)"
     )
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (z, w), the ids z whose words and those of w have a Jaccard similarity of at least 4/5."""
-    side = lambda name: lines.select(F.col("id").alias(name), words(F.col("line")).alias(f"words_{name}"))
+    """Of pairs (z, w), the lines z whose words and those of w have a Jaccard similarity of at least 4/5."""
+    side = lambda name: lines.select(F.col("num").alias(name), words(F.col("line")).alias(f"words_{name}"))
     both = pairs.join(side("z"), "z").join(side("w"), "w")
     return both.where(9 * F.size(F.array_intersect("words_z", "words_w")) >= 4 * (F.size("words_z") + F.size("words_w"))).select("z").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, no) of the lines of docs (doc_id, text) that repeat an earlier one.
+def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two staged tables: (num, doc_id, text_key, no), where each different line of docs occurs first, and (num, line).
+
+    num names the line and grows with doc_id (null first), text_key and no. Copies are told by a 128-bit hash and counted
+    before any row moves; texts are read where the first copy stands.
+    """
+    order = ["doc_id", "text_key", "no"]
+    firsts = split_lines(docs).groupBy(F.xxhash64("line"), F.xxhash64(F.lit("again"), "line")).agg(F.min(F.struct(*order)).alias("at")).select("at.*")
+    # The number of a row is only sure once the sorted partitions are written.
+    firsts = staged(firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("num", F.monotonically_increasing_id()), "line-firsts")
+    wanted = firsts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("no", "num")).alias("wanted")).toDF("d", "t", "wanted")
+    texts = docs.select("doc_id", _text_key(), "text").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+    held = held.select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("all"))  # explode keeps the split from being done at each use
+    held = held.select(F.inline(F.transform("wanted", lambda x: F.struct(x["num"].alias("num"), F.col("all")[x["no"]].alias("line")))))
+    return firsts, staged(held, "line-texts")
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, no) of the lines with a word of docs (doc_id, text) that repeat no earlier one.
 
     Lines are in order of doc_id (null first), text_key and place. A line goes if any earlier line, kept or not, has the
-    same words or a set of words with a Jaccard similarity of at least 4/5. Lines without words stay. Rows equal in
-    doc_id and text count as one.
+    same text or a set of words with a Jaccard similarity of at least 4/5. Rows equal in doc_id and text count as one.
     """
-    spark = docs.sparkSession
-    lines = split_lines(docs)
-    named = lines.withColumn("id", F.xxhash64("line"))
-    place = F.struct("doc_id", "text_key", "no")
-    occurs = staged(named.select("doc_id", "text_key", "no", "id", F.xxhash64(F.lit("again"), "line").alias("id2")), "line-occurrences")
-    # 1. Lines with any plausible partner: rows of ten or so numbers a line meet by word, and none is doubled by a match.
-    rows = prefixes(with_keys(named.select("id", "line"), frequencies(lines)))
-    found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & plausible("a", "b"), "left_semi")
-    chosen = staged(found.select("id").distinct(), "line-chosen")
-    collect_garbage(spark)
-    firsts = staged(occurs.groupBy("id", "id2").agg(F.min(place).alias("at")), "line-firsts")
-    # 2. Their texts, where each occurs first.
-    wanted = firsts.join(chosen, "id", "left_semi").select("id", "at.*").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("no", "id")).alias("wanted"))
-    wanted = wanted.toDF("d", "t", "wanted")
-    held = docs.select("doc_id", "text", _text_key()).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    held = held.select("doc_id", "text_key", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select("x.id", F.struct("doc_id", "text_key", "x.no").alias("at"), F.element_at("all", F.col("x.no") + 1).alias("line"))
-    held = staged(held.groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
-    discard(chosen)
-    collect_garbage(spark)
-    rows = staged(prefixes(with_keys(held, frequencies(held)), "at"), "line-prefixes")
-    # 3. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
-    earliest = F.first(F.struct("id", "at", "n", "pos", "s1", "s2")).over(Window.partitionBy("tok").orderBy("at"))
-    pairs = rows.withColumn("w", earliest).alias("z").select("z.*", F.col("w")).where("w.id <> id").select(F.struct("id", "n", "pos", "s1", "s2").alias("z"), "w").where(plausible("z", "w")).select(F.col("z.id").alias("z"), F.col("w.id").alias("w")).distinct()
+    firsts, texts = distinct_lines(docs)
+    # 1. Different lines with any plausible partner: rows of five numbers meet by rare word, and none is doubled by a match.
+    rows = prefixes(with_keys(texts, frequencies(texts)))
+    found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.num") != F.col("b.num")) & plausible("a", "b"), "left_semi")
+    chosen = staged(found.select("num").distinct(), "line-chosen")
+    held = staged(texts.join(chosen, "num", "left_semi"), "line-held")
+    discard(texts, chosen)
+    collect_garbage(docs.sparkSession)
+    rows = staged(prefixes(with_keys(held, frequencies(held))), "line-prefixes")
+    # 2. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
+    earliest = rows.groupBy("tok").agg(F.min(F.struct("num", "m", "s1", "s2")).alias("w"), F.count("*").alias("c")).where("c > 1").select("tok", "w.*")
+    met = (F.col("z.tok") == F.col("w.tok")) & (F.col("w.num") < F.col("z.num")) & plausible("z", "w")
+    pairs = rows.alias("z").join(earliest.alias("w"), met).select(F.col("z.num").alias("z"), F.col("w.num").alias("w")).distinct()
     gone = staged(_similar(pairs, held), "line-gone")
-    # 4. The rest against all earlier lines.
-    rest = rows.join(gone, F.col("id") == F.col("z"), "left_anti")
-    met = (F.col("a.tok") == F.col("b.tok")) & (F.col("b.at") < F.col("a.at")) & plausible("a", "b")
-    pairs = rest.alias("a").join(rows.alias("b"), met).select(F.col("a.id").alias("z"), F.col("b.id").alias("w")).distinct()
-    similar = gone.unionByName(_similar(pairs, held)).distinct()
-    told = firsts.join(similar, F.col("id") == F.col("z"), "left").select("id", "id2", "at", F.col("z").isNotNull().alias("similar"))
-    out = occurs.join(told, ["id", "id2"]).where(F.col("similar") | (place != F.col("at")) & ~place.eqNullSafe(F.col("at")))
-    return out.select("doc_id", "text_key", "no")
+    # 3. The rest against all earlier lines.
+    rest = rows.join(gone, F.col("num") == F.col("z"), "left_anti")
+    met = (F.col("a.tok") == F.col("b.tok")) & (F.col("b.num") < F.col("a.num")) & plausible("a", "b")
+    pairs = rest.alias("a").join(rows.alias("b"), met).select(F.col("a.num").alias("z"), F.col("b.num").alias("w")).distinct()
+    similar = gone.unionByName(_similar(pairs, held))
+    return firsts.join(similar, F.col("num") == F.col("z"), "left_anti").select("doc_id", "text_key", "no")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any others) with the lines that removed_lines names taken out of text, and __n_lines and __n_removed.
+    """docs (doc_id, text, any others) without the lines that kept_lines leaves out, and __n_lines and __n_removed.
 
-    Null texts stay null and have no lines. A text of which all lines go becomes empty. Names that begin with two
-    underscores are kept for the work, here as in the other operators; any other column passes through.
+    Null texts stay null and have no lines. Lines without words stay. A text of which all lines go becomes empty, and an
+    empty table stays empty. Other columns pass through; those by the added names are replaced.
     """
-    gone = removed_lines(docs.select("doc_id", "text")).groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("__nos")).toDF("__d", "__t", "__nos")
+    docs, columns = set_aside(docs.drop("__n_lines", "__n_removed"), "__nos", "__key", "__d", "__t", "__lines", "__places")
+    kept = kept_lines(docs.select("doc_id", "text")).groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("__nos")).toDF("__d", "__t", "__nos")
     keyed = docs.withColumn("__key", _text_key())
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left").drop("__d", "__t", "__key")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__nos", i)), "\n")
-    joined = joined.withColumn("__n_lines", F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"))
-    joined = joined.withColumn("__n_removed", F.coalesce(F.when(F.col("__nos").isNotNull(), F.size("__nos")), F.lit(0)).cast("long"))
-    return joined.withColumn("text", F.when(F.col("__nos").isNull(), F.col("text")).otherwise(left)).drop("__nos")
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left").drop("__d", "__t", "__key")
+    joined = joined.withColumn("__lines", F.explode(F.array(F.split("text", "\n"))))  # explode keeps the split from being done at each use
+    blank = F.filter(F.transform("__lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "", i)), lambda i: i.isNotNull())
+    places = F.array_sort(F.array_union(blank, F.coalesce("__nos", F.array().cast("array<int>"))))
+    joined = joined.withColumn("__places", F.explode(F.array(places)))
+    size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
+    joined = joined.withColumn("__n_lines", size("__lines")).withColumn("__n_removed", F.col("__n_lines") - size("__places"))
+    left = F.array_join(F.transform("__places", lambda i: F.col("__lines")[i]), "\n")
+    return joined.withColumn("text", F.when(F.col("__n_removed") > 0, left).otherwise(F.col("text"))).select(*columns, "__n_lines", "__n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
