@@ -17,6 +17,8 @@ TOKENIZER = "byte_bpe_50k"
 #: A text's end: the id that follows its ids. Fixed by the contract.
 END_ID = 2
 LENGTH = 1024
+#: Shares of the fitted repeats that a plan tries; that with the fewest sequences is taken.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
 #: The special token that the tokenizer finds in texts, and its id.
 SPECIAL = ("<|endoftext|>", 50256)
 
@@ -166,21 +168,24 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int
 def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) that hold each length of the histogram as often as it occurs.
 
-    Patterns get the repeats that NNLS fits, rounded down and never more than is left; the residual is packed best-fit.
-    If best-fit alone needs no more sequences than this, its plan is taken, so patterns never cost any.
+    Patterns get a share of the repeats that NNLS fits, rounded down and never more than is left; the residual is packed
+    best-fit. Of SHARES, that with the fewest sequences is taken, the largest of equals. Without patterns (no lengths fill
+    a sequence together) and for an empty histogram all is residual.
     """
-    left, made = counts.copy(), []
     found = patterns(counts, length)
-    fitted = nnls(found, counts) if found else []
-    for k in np.argsort(-np.asarray(fitted), kind="stable"):
-        at, n = np.unique(found[k], return_counts=True)
-        use = int(min(np.floor(fitted[k] + 1e-9), (left[at] // n).min()))
-        if use > 0:
-            left[at] -= use * n
-            made.append((found[k], use))
-    made += best_fit(left, length)
-    alone = best_fit(counts, length)
-    return alone if sum(n for _, n in alone) < sum(n for _, n in made) else made
+    fitted = np.asarray(nnls(found, counts) if found else [])
+
+    def with_share(share: float) -> list[tuple[tuple[int, ...], int]]:
+        left, made = counts.copy(), []
+        for k in np.argsort(-fitted, kind="stable"):
+            at, n = np.unique(found[k], return_counts=True)
+            use = int(min(np.floor(share * fitted[k] + 1e-9), (left[at] // n).min()))
+            if use > 0:
+                left[at] -= use * n
+                made.append((found[k], use))
+        return made + best_fit(left, length)
+
+    return min(map(with_share, SHARES), key=lambda made: sum(n for _, n in made))
 
 
 def slots(made: list[tuple[tuple[int, ...], int]], length: int) -> dict[int, np.ndarray]:
@@ -203,7 +208,8 @@ def packed(docs: DataFrame, length: int = LENGTH, name: str = TOKENIZER, folder:
 
     The driver sees the histogram of lengths only (``length`` numbers). Pieces of a length are interchangeable, so each
     takes the slot of its rank within its length; ranks come from counts by (length, part) and places inside the part.
-    Repeated rows are documents of their own.
+    Repeated rows are documents of their own; which of equally long pieces takes which slot is not fixed. Columns besides
+    doc_id and text are left out, so their names can't clash. An empty table gives an empty result.
     """
     cut = pieces(docs, length, name, folder, with_ids)
     cut = staged(cut.withColumn("__part", F.spark_partition_id()), "pieces")
