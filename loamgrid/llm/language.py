@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import checked_broadcast, read
 
 #: Documents whose crc32 of the doc_id as text leaves remainder 0 are held out. Fixed by the contract.
 FOLDS = 5
 UNKNOWN = "und"
 #: The network: bytes of a window, size of a byte's embedding, widths of the filters and how many of each.
 WINDOW, EMBED, WIDTHS, EACH = 256, 8, (2, 3, 5), 16
-#: The fit: about so many documents a language, at most so many languages (the most frequent), windows a document, passes.
-FIT_DOCUMENTS, FIT_LANGUAGES, FIT_WINDOWS, EPOCHS = 700, 200, 3, 6
+#: The fit: about so many documents a language, fewer where that would be more than FIT_TOTAL, but one of each; windows a document, passes.
+FIT_DOCUMENTS, FIT_TOTAL, FIT_WINDOWS, EPOCHS = 700, 140_000, 3, 6
 BATCH, RATE, SEED = 64, 3e-3, 7
 _STEP = WINDOW - max(WIDTHS) + 1
 
@@ -131,25 +131,27 @@ class ByteNet:
         return out
 
 
-def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, languages: int = FIT_LANGUAGES) -> ByteNet:
-    """A network fitted on labelled documents (doc_id, text, lang) that are not held out.
+def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, total: int = FIT_TOTAL) -> ByteNet:
+    """A network fitted on labelled documents (doc_id, text, lang) that are not held out. Every label can be predicted.
 
-    The sample is bounded: about ``documents`` a language, chosen by hash, of at most ``languages`` languages, and of each
-    document FIT_WINDOWS pieces of a window's length at hashed places. Only these pieces go to the driver.
+    The sample is bounded: about ``documents`` a language, chosen by hash (fewer where all languages together would have
+    more than ``total``, but at least the one with the lowest hash), and of each document FIT_WINDOWS pieces of a window's
+    length at hashed places. Only these pieces and the labels go to the driver. Repeated rows and ties are chosen
+    alike. Without labelled rows the network has no language and says ``und``.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    names = sorted(counts)
+    u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(u).alias("lowest"))
+    names = sorted(r["lang"] for r in counts.select("lang").collect())  # one row a label
     net = ByteNet(names)
     if not names:
         return net
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, documents / n))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    each = max(1, min(documents, total // len(names)))
+    labelled = labelled.join(checked_broadcast(counts, len(names)), "lang")
+    share = F.lit(float(each)) / F.col("n")
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long"))
     cut = [F.substring(F.col("text"), (place(k) + 1).cast("int"), F.lit(WINDOW)) for k in range(FIT_WINDOWS)]
-    rows = labelled.where(u < share).select("lang", F.xxhash64("doc_id").alias("h"), F.array(*cut).alias("cut")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    rows = labelled.where((u < share) | (u == F.col("lowest"))).select("lang", F.xxhash64("doc_id").alias("h"), F.array(*cut).alias("cut")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     code = {n: i for i, n in enumerate(names)}
     x = [(windows(c.encode()[:WINDOW])[0], code[r["lang"]]) for r in rows.to_pylist() for c in r["cut"]]
     net.train(np.stack([a for a, _ in x]), np.array([b for _, b in x]))
@@ -157,7 +159,11 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, languages: int = FIT_LA
 
 
 def with_language(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """docs (text, any others) with lang_pred and score; ``und`` and 0 if the text is null or has no letter. Whole texts are read, in windows."""
+    """docs (text, any others) with lang_pred and score; ``und`` and 0 if the text is null or has no letter.
+
+    Whole texts are read, in windows, however long. Each row is judged alone, so repeated rows agree; of tied languages the
+    first in order of code points is named. Columns named lang_pred or score are replaced; an empty table stays empty.
+    """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*keep)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
