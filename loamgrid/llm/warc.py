@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read, staged
+from .common import checked_broadcast, new_path, read, staged
 
 #: The magic number of a skippable frame that holds a dictionary (.warc.zst), and that of a dictionary and a frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -121,15 +121,20 @@ def records_of(data: bytes) -> Iterator[bytes]:
 def deduplicated(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with __payload (binary), __digest and __refers_to.
 
-    Of rows with equal payloads the one with the largest page_id is the response; the others refer to it. Null html is
-    an empty payload. Rows without page_id count as smaller than any; of repeated rows of the largest page_id all are
-    responses.
+    Of rows with equal payloads (by SHA-256) the one with the largest page_id is the response; the others refer to it.
+    Null html is an empty payload. Rows without page_id count as smaller than any; of repeated rows of the largest page_id
+    all are responses. Other columns are left out; an empty table stays empty.
+
+    Digests are counted first, and only those that occur more than once meet the payloads: as a counted broadcast, or in
+    a join whose hot digests Spark splits.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
-    pages = pages.select("page_id", "url", payload.alias("__payload")).withColumn("__sha1", F.sha1("__payload"))
-    last = pages.groupBy("__sha1").agg(F.max("page_id").alias("__last")).withColumnRenamed("__sha1", "__of")
-    pages = pages.join(last, F.col("__sha1") == F.col("__of")).drop("__of")
-    return pages.withColumn("__refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last")))
+    pages = pages.select("page_id", "url", payload.alias("__payload"))
+    sha256 = F.sha2("__payload", 256)
+    last = pages.groupBy(sha256.alias("__of")).agg(F.max("page_id").alias("__last"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    last = staged(last, "warc-repeats")
+    pages = pages.join(checked_broadcast(last, last.count()), sha256 == F.col("__of"), "left").drop("__of").withColumn("__sha1", F.sha1("__payload"))
+    return pages.withColumn("__refers_to", F.when(F.col("__last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last")))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
