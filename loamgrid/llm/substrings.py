@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import collect_garbage, discard, partitions, read, staged
 
-MATCH, GRAM, BATCHES = 200, 32, 4
+MATCH, GRAM = 200, 32
+#: The number of batches grows with the logarithm of the bytes: one for each doubling beyond so many, two at least.
+FIRST_BATCH = 1 << 25
 #: Bytes of documents whose suffixes are sampled together, bytes of surroundings that share a dense suffix array, and
 #: different surroundings of one suffix beyond which they are compared as hashed windows instead.
 SAMPLE_BLOCK, ARRAY_BLOCK, HOT = 1 << 20, 1 << 21, 8192
@@ -223,13 +225,18 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """(doc_id, text_key, first, last): spans of bytes [first, last) of docs (doc_id, text_key, text) that lie in a repeated string of MATCH bytes."""
     spark = docs.sparkSession
+    if batches is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        batches = max(2, (size // FIRST_BATCH).bit_length())
     index = SuffixIndex()
     for k in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)) == k))
-    runs = staged(index.all_runs().join(index.repeated(), "h").withColumn("alike", F.col("low") == F.col("high")).drop("low", "high"), "suffix-repeats")
+    # Staged on its own, so that the join reads two shuffles and a hot suffix can be split.
+    repeated = staged(index.repeated(), "suffix-repeated")
+    runs = staged(index.all_runs().join(repeated, "h").withColumn("alike", F.col("low") == F.col("high")).drop("low", "high"), "suffix-repeats")
     discard(*index.runs, *index.hits, *[level for _, level in index.levels])
     collect_garbage(spark)
     # All surroundings alike: every string of the run is repeated. Else one of each different surroundings is looked into.
@@ -268,7 +275,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): what is left (binary) of each text's UTF-8 bytes without those in a MATCH-byte string that starts anywhere else, in the text or another.
 
     Strings are judged on the input and never cross documents. Null texts are empty. Repeated rows of a doc_id are
