@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, read
+from .common import checked_broadcast, read, staged
 
 #: (rule, verdict): host/path prefix. Fixed by the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Labelled URLs that the trees are fitted on: those with the smallest hashes, at most so many.
 FIT_ROWS = 20_000
+#: Labelled rows are dealt by hash into so many folds for the statistics of suffixes.
+FOLDS = 5
 TREES = 40
 DEPTH = 4
 RATE = 0.2
 BINS = 32
 LEAST_LEAF = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "secure", "hyphens", "last_length", "has_extension", "suffix_share", "suffix_rate", "path_share", "path_rate")
+FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "query_length", "fragment", "secure", "hyphens", "last_length", "has_extension", "suffix_share", "suffix_rate")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,15 +48,23 @@ def matched(urls: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 
 def with_statistics(urls: DataFrame) -> DataFrame:
-    """urls with statistics of the host's last label and of the path's first part over all rows: their share of the rows, and the share of blocks among their labelled rows."""
-    urls = urls.withColumn("__suffix", F.regexp_extract("__host", "([^.]*)$", 1)).withColumn("__first", F.regexp_extract("__path", "^/([^/]*)", 1))
-    blocked = (F.col("__label") == "block").cast("double")
-    for key, name in (("__suffix", "__suffix"), ("__first", "__path")):
-        per = urls.groupBy(key).agg(F.count("*").alias("n"), F.count("__label").alias("m"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("b"))
-        counted = per.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-        per = per.select(F.col(key).alias("__of"), (F.col("n") / (counted["n"] or 1)).alias(f"{name}_share"), ((F.col("b") + 1.0) / (F.col("m") + 2.0)).alias(f"{name}_rate"))
-        urls = urls.join(checked_broadcast(per, counted["rows"]), F.col(key) == F.col("__of"), "left").drop("__of")
-    return urls
+    """urls with statistics of the host's last label: its share of all rows, and the share of blocks among its labelled rows.
+
+    A labelled row's share of blocks leaves out the rows of its own fold (FOLDS, by hash of the URL), so that no row is
+    told its own label, nor are copies of it. One pass counts rows by (suffix, fold, label).
+    """
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")
+    urls = urls.withColumn("__suffix", F.regexp_extract("__host", "([^.]*)$", 1)).withColumn("__fold", F.when(F.col("__label").isNotNull(), fold).otherwise(-1))
+    by_fold = urls.groupBy("__suffix", "__fold").agg(F.count("*").alias("n"), F.count("__label").alias("m"), F.count_if(F.col("__label") == "block").alias("b"))
+    by_fold = staged(by_fold, "url-suffixes")
+    counted = by_fold.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    whole = by_fold.groupBy(F.col("__suffix").alias("__of")).agg(F.sum("n").alias("n_all"), F.sum("m").alias("m_all"), F.sum("b").alias("b_all"))
+    per = by_fold.join(whole, F.col("__suffix") == F.col("__of")).select(
+        "__of", F.col("__fold").alias("__of_fold"), (F.col("n_all") / (counted["n"] or 1)).alias("__suffix_share"),
+        ((F.col("b_all") - F.col("b") + 1.0) / (F.col("m_all") - F.col("m") + 2.0)).alias("__suffix_rate"),
+    )
+    same = (F.col("__suffix") == F.col("__of")) & (F.col("__fold") == F.col("__of_fold"))
+    return urls.join(checked_broadcast(per, counted["rows"]), same, "left").drop("__of", "__of_fold")
 
 
 def features(url: list, host: list, path: list, stats: list[np.ndarray]) -> np.ndarray:
@@ -133,7 +143,7 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
-_INPUT = ("url", "__host", "__path", "__suffix_share", "__suffix_rate", "__path_share", "__path_rate")
+_INPUT = ("url", "__host", "__path", "__suffix_share", "__suffix_rate")
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -152,8 +162,10 @@ def judge_urls(urls: DataFrame, rules: tuple = RULES, rows: int = FIT_ROWS) -> D
 
     URLs that a rule fits are the labelled ones: they keep the rule's verdict and train the trees, which judge the rest
     (block at a probability of at least 0.5). Null URLs and those without ``://`` have empty host and path. Without
-    labelled URLs the trees say 0.5 for all. Repeated URLs get the same verdict.
+    labelled URLs the trees say 0.5 for all. Repeated URLs get the same verdict, very long ones are read whole, and an
+    empty table stays empty. Other columns pass through; those by the added names are replaced.
     """
+    urls = urls.drop("__host", "__path", "__rule", "__label", "__suffix", "__fold", "__of", "__of_fold", "__suffix_share", "__suffix_rate", "__block_probability", "__verdict")
     urls = with_statistics(matched(urls, rules))
     model = fit(urls, rows)
     out_schema = urls.select("*", F.lit(0.0).alias("__block_probability")).schema
