@@ -1,4 +1,8 @@
-"""Near-duplicate texts: five-word shingles at Jaccard similarity 0.8 or more, candidates from bands of min-hashes, each verified on the whole sets."""
+"""Near-duplicate texts: five-word shingles at Jaccard similarity 0.8 or more.
+
+Candidates are links of SimHash fingerprints by anchor points (``simhash.links``, up to 3 bits) and, since texts of
+similarity 0.8 differ in more bits than anchors can cover, bands of min-hashes. Each is verified on the whole sets.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from .common import components, staged
 
 SEED = 42
@@ -28,12 +33,17 @@ _TIMES, _PLUS = _RANDOM[0] << np.uint64(1) | np.uint64(1), _RANDOM[1]
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Different hashes of the text's shingles, sorted; a text of fewer words is one shingle, one without words none."""
+    return np.unique(hashes(text, width))
+
+
+def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of the text's shingles in order, repeats included."""
     words = (text or "").encode().lower().split()  # bytes.lower() changes A-Z only
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
 
 
 def bands(held: np.ndarray) -> list[int]:
@@ -52,19 +62,21 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, h1, h2, node, bands): h1 and h2 name the text, node its set of shingles; texts without words are node 0."""
+    """(doc_id, h1, h2, node, fp, bands): h1 and h2 name the text, node its set of shingles, fp is its SimHash; texts without words are node 0."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for text in batch.column("text"):
-                held = shingles(text.as_py(), width)
+                every = hashes(text.as_py(), width)
+                held = np.unique(every)
+                fps.append(simhash.majority(every))
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), SEED) if len(held) else 0)
                 keys.append(bands(held))
             columns = [batch.column(c) for c in ("doc_id", "__h1", "__h2")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "node", "fp", "bands"])
 
-    schema = docs.select("doc_id").schema.add("h1", "long").add("h2", "long").add("node", "long").add("bands", ArrayType(LongType()))
+    schema = docs.select("doc_id").schema.add("h1", "long").add("h2", "long").add("node", "long").add("fp", "long").add("bands", ArrayType(LongType()))
     return _named(docs).select("doc_id", "__h1", "__h2", "text").mapInArrow(made, schema)
 
 
@@ -102,10 +114,21 @@ def _forest(home: np.ndarray, node: np.ndarray, label: np.ndarray, held: list[np
     return edges
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or linked by anchors, no more than nodes and links of a spanning forest."""
+    node = texts.where("size(bands) > 0").select("node", "fp").distinct()
+    hub = staged(node.groupBy("fp").agg(F.min("node").alias("hub")), "near-fingerprints")
+    same = node.join(hub, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    far = simhash.links(hub.select("fp"))
+    for side in ("a", "b"):
+        far = far.join(hub.select(F.col("fp").alias(side), F.col("hub").alias(f"node_{side}")), side)
+    return same.unionByName(far.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b"))
+
+
 def links(docs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all links between nodes that share a band.
+    """Edges (a, b) between nodes whose components are those of all links between nodes that share a band, or that fingerprints pair.
 
-    First each member of a band is compared with the band's smallest node, each such pair once. Where that leaves a
+    First each pair of fingerprint_pairs is compared, and each member of a band is compared with the band's smallest node, each such pair once. Where that leaves a
     band in several components, the members outside the smallest node's are compared with all, in pairs of chunks; a
     chunk returns a spanning forest, so a large group of near copies adds as many edges as members.
     """
@@ -113,8 +136,10 @@ def links(docs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: flo
     members = staged(nodes.select("node", F.explode("bands").alias("key")), "near-bands")
     size = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     groups = staged(members.join(size, "key"), "near-groups")
-    sets = staged(_sets(docs, texts, groups.select("node").distinct(), width), "near-sets")
-    pairs = groups.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = groups.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = staged(pairs.unionByName(fingerprint_pairs(texts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = groups.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = staged(_sets(docs, texts, wanted, width), "near-sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}")), side)
     both = F.size(F.array_intersect("held_a", "held_b"))
@@ -153,7 +178,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     """(doc_id, h1, h2, component) of each row; texts of one set of shingles, and texts without words, are one node."""
     texts = staged(sketches(docs, width), "near-texts")
     comp = staged(components(links(docs, texts, width, similarity), "near-edges"), "near-components")
-    return texts.drop("bands").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    return texts.drop("bands", "fp").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

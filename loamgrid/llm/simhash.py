@@ -25,11 +25,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [b" ".join(words)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(shingles), _PIECE):
-        h = np.array([digest(s, SEED) for s in shingles[i : i + _PIECE]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set that are set in over half of the hashes; none: zero."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _PIECE):
+        ones += np.unpackbits(hashes[i : i + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -124,7 +129,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = MAX_DISTANC
 
     Texts without words (null, empty) have fingerprint zero and link like any other. Copies share a fingerprint and
     are one node. Repeated rows of a doc_id give repeated rows; rows without doc_id never name a component unless it
-    has no other.
+    has no other. Whole texts count, however long; other columns are left out, and an empty table stays empty.
     """
     fp = staged(fingerprints(docs, width), "simhash-fp")
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
