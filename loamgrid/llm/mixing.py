@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, read, word_count
+from .common import checked_broadcast, read, set_aside, word_count
 
 #: Weights by place of the source in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -42,10 +42,10 @@ def with_copies(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
     A document is taken floor(target / source_size) times and once more if its number in [0, 1), the first 52 bits of
     the MD5 of seed and doc_id, is below the fraction. So reruns agree, and repeated rows of one doc_id decide alike.
-    Null text: size 0. A null source is a source, last in order; a source of size 0 has target 0. An empty table gives
-    an empty result.
+    Null text: size 0; whole texts count, however long. A null source is a source, last in order; a source of size 0
+    has target 0. An empty table gives an empty result. Columns of docs by the added names are replaced.
     """
-    docs = docs.withColumn("__size", word_count(F.col("text")))
+    docs = docs.drop("__size", "__source", "__source_size", "__target", "__copies").withColumn("__size", word_count(F.col("text")))
     targets = source_targets(docs.select("source", F.col("__size").alias("size")), **how)
     targets = targets.toDF("__source", "__source_size", "__target")
     targets = checked_broadcast(targets, docs.select("source").distinct().count())
@@ -58,8 +58,9 @@ def with_copies(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
+    docs, columns = set_aside(docs, "__size", "__source", "__source_size", "__target", "__copies", "__copy")
     taken = with_copies(docs, **how).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
