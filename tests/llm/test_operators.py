@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql.functions import col
 
-from loamgrid.llm import language, lines, packing, quality, registry, simhash, substrings, urls, warc
+from loamgrid.llm import language, lines, mixing, packing, quality, registry, simhash, substrings, urls, warc
 
 
 def table(spark, d, name):
@@ -170,6 +170,15 @@ def test_op6_plan_holds_the_histogram():
         assert (held == counts).all()
 
 
+def test_op6_plan_keeps_patterns():
+    """Patterns stay in the plan where they fit, and never cost more sequences than the smallest share of them."""
+    counts = np.bincount(np.random.default_rng(6).integers(1, 1025, 5000), minlength=1025)
+    made = packing.plan(counts)
+    found = set(packing.patterns(counts, 1024))
+    assert sum(n for c, n in made if tuple(sorted(c)) in found) > 100
+    assert sum(n for _, n in made) <= 1.02 * sum(n for _, n in packing.best_fit(counts, 1024))
+
+
 def test_op7_all_pairs(spark, tricky):
     docs = table(spark, tricky, "documents")
 
@@ -230,6 +239,34 @@ def test_op8_held_out_accuracy(spark, sf):
     assert (got.lang == got.lang_pred)[got.lang.notna()].mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def test_op8_every_label_is_learned(spark):
+    """More labels than any list of the most frequent ones would hold; rare ones have a single document."""
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 8, f"l{i:03}") for i in range(330)] + [(1000 + i, "plain words of a common language " * 3, "common") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in docs.where(~language.held_out(col("doc_id"))).select("lang").collect()}
+    net = language.fit(docs, documents=5, total=300)
+    assert set(net.languages) == learned and len(learned) > 250
+    assert net.predict(["plain words of a common language"])[0][0] in learned
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5), (2, "a b", "s", 6)], "doc_id long, text string, source string, n long")
+    assert sorted(r["__size"] for r in mixing.with_copies(docs.withColumnRenamed("n", "__size")).collect()) == [2, 2]
+    assert {r["__size"] for r in mixing.mix_documents(docs.withColumnRenamed("n", "__size")).collect()} <= {5, 6}
+    assert sorted((r["__nos"], r.text) for r in lines.without_repeats(docs.withColumnRenamed("n", "__nos")).collect()) == [(5, "a b"), (6, "")]
+    assert [r["__rule"] for r in urls.judge_urls(docs.withColumnRenamed("text", "url").withColumnRenamed("n", "__rule")).collect()] == [None, None]
+
+
+def test_wide_tables_pass_through(spark, tricky):
+    """Operators that keep other columns keep those that are named like their inputs' parts."""
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    n = docs.count()
+    assert quality.quality_verdicts(docs).count() == n and lines.without_repeats(docs).drop("__n_lines", "__n_removed").columns == docs.columns
+    assert mixing.mix_documents(docs).columns == docs.columns
+    pages = spark.read.parquet(f"{tricky}/pages.parquet")
+    assert urls.judge_urls(pages).count() == pages.count()
+
+
 def test_op8_tricky(spark, tricky):
     got = {r.doc_id: r for r in registry.QUERIES["op8_language"](spark, tricky).collect()}
     assert [got[i].lang_pred for i in (9001, 9002, 9003, 9012)] == ["und"] * 4
