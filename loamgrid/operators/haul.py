@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M
@@ -18,6 +19,7 @@ c = F.col
 KEY = grid.KEY
 #: Headings look this many bins ahead and aside, and a bin counts as on the ray within this share of a bin (3 inches of 24).
 AHEAD, ASIDE, NEAR, MAX_TURN, MAX_STEPS = 8, 4, 3 / 24, 90.0, 10_000
+TURN_CIRCLE_M = 2.0
 
 
 def bin_vectors(samples: DataFrame) -> DataFrame:
@@ -49,6 +51,8 @@ def spread_headings(bins: DataFrame, known: DataFrame, max_rounds: int = 10_000)
             break
         have = cut(have.unionByName(front))
         pending = cut(pending.join(front, KEY, "left_anti"))
+    else:
+        raise RuntimeError("the headings did not settle")
     return have.unionByName(nearest_vectors(pending, have))
 
 
@@ -83,96 +87,123 @@ def blended(vectors: DataFrame, sampled: DataFrame, passes: int = 5) -> DataFram
 
 
 def look_ahead(headings: DataFrame, keys: list[str], order: str, window: int = 6) -> DataFrame:
-    """headings (heading_deg) with ahead_deg, the circular mean of the row and those that follow, where there are at least two."""
+    """headings (heading_deg) with ahead_deg, the circular mean of the row and those that follow, where there are at least two; the last one where they cancel."""
     x, y = geo.heading_vector(c("heading_deg"))
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, window - 1)
-    return headings.withColumn("ahead_deg", F.when(F.count("*").over(w) >= 2, geo.vector_heading(F.sum(x).over(w), F.sum(y).over(w))))
+    got = headings.withColumn("__x", F.sum(x).over(w)).withColumn("__y", F.sum(y).over(w)).withColumn("__last", F.last("heading_deg").over(w)).withColumn("__n", F.count("*").over(w))
+    mean = F.when(F.sqrt(c("__x") * c("__x") + c("__y") * c("__y")) > 1e-9, geo.vector_heading(c("__x"), c("__y"))).otherwise(geo.normal(c("__last")))
+    return got.withColumn("ahead_deg", F.when(c("__n") >= 2, mean)).drop("__x", "__y", "__last", "__n")
 
 
 def successors(headings: DataFrame) -> DataFrame:
     """(field_id, bx, by_, nx, ny): the next bin on each bin's heading (heading_deg), or none.
 
-    Candidates are the bins up to 8 ahead and 4 aside of the heading, or else any within 10; the first that the ray from
-    the centre enters (within 3 inches) wins. Turns of over 90 degrees end a path.
+    A bin is on the heading if the ray from the centre comes within 3 inches of its own centre; the first whose circle of
+    that radius the ray enters wins. Looked at are the bins up to 8 ahead and 4 aside; only where there is none of those
+    at all, those within 10 either way. Turns of over 90 degrees end a path. Offsets that the ray misses never meet the
+    table, so a bin is joined to one or two others.
     """
     vx, vy = geo.heading_vector(c("heading_deg"))
     h = headings.select(*KEY, "heading_deg", vx.alias("vx"), vy.alias("vy"))
-
-    def best(rows: DataFrame, dx: Column, dy: Column) -> DataFrame:
-        r = rows.withColumn("dx", dx.cast("int")).withColumn("dy", dy.cast("int")).where("dx <> 0 OR dy <> 0")
-        half = 0.5 + NEAR
-        # Slab method: where the ray enters the widened bin.
-        t = lambda d, v, s: (c(d) + s * half) / c(v)
-        span = lambda d, v: (F.when(F.abs(v) > 1e-12, F.least(t(d, v, -1), t(d, v, 1))).when(F.abs(c(d)) <= half, -1e18).otherwise(1e18), F.when(F.abs(v) > 1e-12, F.greatest(t(d, v, -1), t(d, v, 1))).when(F.abs(c(d)) <= half, 1e18).otherwise(-1e18))
-        (x0, x1), (y0, y1) = span("dx", "vx"), span("dy", "vy")
-        enter, leave = F.greatest(x0, y0), F.least(x1, y1)
-        r = r.withColumn("enter", F.greatest(enter, F.lit(0.0))).where((enter <= leave) & (leave > 0))
-        r = r.where(c("dx") * c("vx") + c("dy") * c("vy") > 0)
-        r = r.withColumn("nx", c("bx") + c("dx")).withColumn("ny", c("by_") + c("dy"))
-        there = headings.select("field_id", c("bx").alias("nx"), c("by_").alias("ny"), c("heading_deg").alias("next_deg"))
-        r = r.join(there, ["field_id", "nx", "ny"]).withColumn("round_enter", F.round("enter", 9))
-        return r.groupBy(*KEY, "heading_deg").agg(F.min_by(F.struct("nx", "ny", "next_deg"), F.struct("round_enter", F.abs("dx") + F.abs("dy"), "dy", "dx")).alias("n"))
-
-    k, j = F.explode(F.sequence(F.lit(1), F.lit(AHEAD))), F.explode(F.sequence(F.lit(-ASIDE), F.lit(ASIDE)))
-    ahead = best(h.withColumn("k", k).withColumn("j", j), F.rint(c("k") * c("vx") + c("j") * c("vy")), F.rint(c("k") * c("vy") - c("j") * c("vx")))
-    rest = h.join(ahead, KEY, "left_anti")
-    ten = F.explode(F.sequence(F.lit(-10), F.lit(10)))
-    wide = best(rest.withColumn("k", ten).withColumn("j", F.explode(F.sequence(F.lit(-10), F.lit(10)))), c("k"), c("j"))
-    got = ahead.unionByName(wide)
+    there = headings.select("field_id", c("bx").alias("nx"), c("by_").alias("ny"), c("heading_deg").alias("next_deg"))
+    reach = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+    # The place ahead and aside is rounded as a place in the grid, where halves go to the even bin.
+    around = lambda rows: (
+        rows.withColumn("k", reach(1, AHEAD)).withColumn("j", reach(-ASIDE, ASIDE))
+        .withColumn("nx", F.rint(c("bx") + 0.5 + c("k") * c("vx") - c("j") * c("vy") - 0.5).cast("int")).withColumn("ny", F.rint(c("by_") + 0.5 + c("k") * c("vy") + c("j") * c("vx") - 0.5).cast("int"))
+        .where((c("nx") != c("bx")) | (c("ny") != c("by_")))
+    )
+
+    def first_hit(rows: DataFrame) -> DataFrame:
+        dx, dy = c("nx") - c("bx"), c("ny") - c("by_")
+        along = dx * c("vx") + dy * c("vy")
+        aside2 = F.greatest(dx * dx + dy * dy - along * along, F.lit(0.0))
+        half = F.sqrt(NEAR * NEAR - aside2)
+        on = rows.where((along > 1e-9) & (aside2 <= NEAR * NEAR)).withColumn("enter", F.when(along - half > 1e-9, along - half).otherwise(along + half))
+        met = on.join(there, ["field_id", "nx", "ny"])
+        return met.groupBy(*KEY, "heading_deg").agg(F.min_by(F.struct("nx", "ny", "next_deg"), F.struct("enter", "ny", "nx")).alias("n"))
+
+    ahead = first_hit(around(h))
+    missed = h.join(ahead, KEY, "left_anti")
+    blocked = around(missed).join(there, ["field_id", "nx", "ny"], "left_semi").select(*KEY).distinct()
+    square = missed.join(blocked, KEY, "left_anti").withColumn("k", reach(-10, 10)).withColumn("j", reach(-10, 10)).withColumn("nx", c("bx") + c("k")).withColumn("ny", c("by_") + c("j"))
+    got = ahead.unionByName(first_hit(square.where((c("nx") != c("bx")) | (c("ny") != c("by_")))))
     return got.where(geo.turn(c("heading_deg"), c("n.next_deg")) <= MAX_TURN).select(*KEY, c("n.nx").alias("nx"), c("n.ny").alias("ny"))
 
 
 def routes(starts: DataFrame, next_bins: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
-    """starts (field_id, path_id, bx, by_) with route, the array of bins from the start on, by doubling: after k rounds each bin knows its next 2^k ones. A route ends before its first repeat, where there is no next bin, or after max_steps."""
-    here = F.struct(c("bx").alias("x"), c("by_").alias("y"))
-    # tail: the next bins of a bin, at most 2^round of them; goal: the last of them.
-    tail = cut(next_bins.select("field_id", here.alias("at"), F.array(F.struct(c("nx").alias("x"), c("ny").alias("y"))).alias("tail")))
-    got = cut(starts.select("field_id", "path_id", F.array(here).alias("route")))
-    steps = 1
-    while steps <= 2 * max_steps:
-        on = got.withColumn("at", F.element_at("route", -1)).join(tail.withColumnRenamed("tail", "more"), ["field_id", "at"], "left")
-        grown = F.when(c("more").isNull(), c("route")).otherwise(F.concat("route", "more"))
-        # The first place that repeats an earlier one ends the route.
-        whole = F.size(F.array_distinct(grown)) == F.size(grown)
-        stop = F.expr("cast(array_min(transform(sequence(1, size(g)), i -> if(array_position(g, element_at(g, i)) < i, i, size(g) + 1))) as int)")
-        on = on.withColumn("g", grown).withColumn("ok", whole)
-        after = cut(on.select("field_id", "path_id", F.slice(F.when(c("ok"), c("g")).otherwise(F.slice(c("g"), F.lit(1), stop - 1)), 1, max_steps + 1).alias("route"), (c("more").isNotNull() & c("ok") & (F.size("g") <= max_steps)).alias("open")))
-        got = after.drop("open")
-        if after.where("open").isEmpty():
-            return got
-        last = tail.withColumn("goal", F.element_at("tail", -1)).join(tail.select("field_id", c("at").alias("goal"), c("tail").alias("more")), ["field_id", "goal"], "left")
-        joined = F.when(c("more").isNull() | (F.size("tail") < steps), c("tail")).otherwise(F.concat("tail", "more"))
-        tail = cut(last.select("field_id", "at", joined.alias("tail")))
-        steps *= 2
-    return got
-
-
-def _smooth(xy: np.ndarray, heading: np.ndarray, turn_circle: float) -> np.ndarray:
-    """One route of bin centres as a smooth line: looked-ahead headings, low-pass, limited turns, relaxed points, Hermite curves."""
-    n = len(xy)
-    if n < 3:
-        return xy
-    v = np.stack([np.sin(np.radians(heading)), np.cos(np.radians(heading))], axis=1)
-    ahead = np.stack([v[i : i + 6].sum(axis=0) if n - i >= 2 else v[i] for i in range(n)])
-    ang = np.degrees(np.arctan2(ahead[:, 0], ahead[:, 1]))
-    turn = lambda a, b: (b - a + 180) % 360 - 180
-    limit = math.degrees(BIN_M / (turn_circle / 2))
+    """starts (field_id, path_id, bx, by_) with route, the array of bins from the start on.
+
+    A route ends before its first repeat, where there is no next bin, or after max_steps. Routes double: after k rounds a
+    row a step is known up to 2^k steps, and each bin's goal 2^k steps on, so rows are at most twice the steps of the
+    routes. Only routes that neither ended nor met themselves go on.
+    """
+    jump = cut(next_bins.select(*KEY, "nx", "ny"))
+    going = cut(starts.select("field_id", "path_id", F.lit(0).alias("pos"), "bx", "by_"))
+    ended, known = [], 1
+    path = Window.partitionBy("field_id", "path_id")
+    same_bin = Window.partitionBy("field_id", "path_id", "bx", "by_").orderBy("pos")
+    while True:
+        on = going.join(jump, KEY).select("field_id", "path_id", (c("pos") + known).alias("pos"), c("nx").alias("bx"), c("ny").alias("by_"))
+        known *= 2
+        steps = going.unionByName(on).withColumn("again", F.row_number().over(same_bin) > 1)
+        steps = steps.withColumn("stop", F.min(F.when(c("again"), c("pos"))).over(path)).withColumn("n", F.count("*").over(path))
+        steps = cut(steps.withColumn("over", c("stop").isNotNull() | (c("n") < known) | F.lit(known > max_steps)))
+        ended.append(steps.where(c("over") & (c("pos") < F.coalesce("stop", F.lit(max_steps + 1))) & (c("pos") <= max_steps)).select("field_id", "path_id", "pos", "bx", "by_"))
+        going = steps.where("NOT over").select("field_id", "path_id", "pos", "bx", "by_")
+        if known > max_steps or going.isEmpty():
+            break
+        far = jump.toDF("field_id", "nx", "ny", "fx", "fy")
+        jump = cut(jump.join(far, ["field_id", "nx", "ny"]).select(*KEY, c("fx").alias("nx"), c("fy").alias("ny")))
+    rows = reduce(DataFrame.unionByName, ended).groupBy("field_id", "path_id").agg(F.array_sort(F.collect_list(F.struct("pos", c("bx").alias("x"), c("by_").alias("y")))).alias("r"))
+    return rows.select("field_id", "path_id", F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("route"))
+
+
+def _turned(start: float, wanted: np.ndarray, limit: float) -> np.ndarray:
+    """Headings from start on that follow the wanted ones by at most limit degrees a step."""
+    out = [start]
+    for w in wanted[1:]:
+        out.append(out[-1] + max(-limit, min(limit, (w - out[-1] + 180) % 360 - 180)))
+    return np.array(out)
+
+
+def _mean_heading(deg: np.ndarray) -> float:
+    """Circular mean; the last one where they cancel."""
+    x, y = np.sin(np.radians(deg)).sum(), np.cos(np.radians(deg)).sum()
+    return float(deg[-1]) if max(abs(x), abs(y)) < 1e-12 else float(np.degrees(np.arctan2(x, y)))
+
+
+def _smooth(p: np.ndarray, heading: np.ndarray, turn_circle: float, window: int = 6, pad: float = 0.22, samples: int = 6) -> np.ndarray:
+    """One route of bin centres, in bins, as a smooth line.
+
+    The heading wanted at a bin is the mean of the window ahead, then low-passed along the route; the one taken follows it
+    within the turning circle. Two passes draw each taken heading to the mean of itself and its neighbours, and limit the
+    turns anew. Bins are joined by Hermite curves whose tangents shrink with the turn, held to the bins' box and a margin.
+    """
+    n = len(p)
+    if n < 2:
+        return p
+    swing = lambda a, b: (b - a + 180) % 360 - 180
+    limit = math.degrees(BIN_M / max(0.01, turn_circle / 2))
+    wanted = np.array([_mean_heading(heading[i : i + window]) for i in range(n)])
     for i in range(1, n):
-        low = ang[i - 1] + 0.30 * turn(ang[i - 1], ang[i])
-        ang[i] = ang[i - 1] + max(-limit, min(limit, turn(ang[i - 1], low)))
-    p = xy.astype(float).copy()
+        wanted[i] = wanted[i - 1] + 0.30 * swing(wanted[i - 1], wanted[i])
+    taken = _turned(float(heading[0]), wanted, limit)
     for _ in range(2):
-        p[1:-1] += 0.35 * ((p[:-2] + p[2:]) / 2 - p[1:-1])
-    t = np.stack([np.sin(np.radians(ang)), np.cos(np.radians(ang))], axis=1)
-    out = [p[0]]
+        drawn = taken.copy()
+        for i in range(1, n - 1):
+            drawn[i] = taken[i] + 0.35 * swing(taken[i], _mean_heading(taken[i - 1 : i + 2]))
+        taken = _turned(drawn[0], drawn, limit)
+    s = (np.arange(samples) / samples)[:, None]
+    way = np.stack([np.sin(np.radians(taken)), np.cos(np.radians(taken))], axis=1)
+    out = []
     for i in range(n - 1):
-        d = np.linalg.norm(p[i + 1] - p[i])
-        for s in np.linspace(0, 1, 7)[1:]:
-            h = np.array([2 * s**3 - 3 * s**2 + 1, s**3 - 2 * s**2 + s, -2 * s**3 + 3 * s**2, s**3 - s**2])
-            curve, chord = h[0] * p[i] + h[1] * d * t[i] + h[2] * p[i + 1] + h[3] * d * t[i + 1], p[i] + s * (p[i + 1] - p[i])
-            off = curve - chord
-            out.append(chord + off * min(1.0, 0.22 / max(np.linalg.norm(off), 1e-12)))
-    return np.array(out)
+        a, b = p[i], p[i + 1]
+        sharp = min(1.0, abs(swing(taken[i], taken[i + 1])) / 180)
+        pull = np.linalg.norm(b - a) * (0.45 + (0.12 - 0.45) * sharp)
+        curve = (2 * s**3 - 3 * s**2 + 1) * a + (s**3 - 2 * s**2 + s) * pull * way[i] + (3 * s**2 - 2 * s**3) * b + (s**3 - s**2) * pull * way[i + 1]
+        out.append(np.clip(curve, np.minimum(a, b) - pad, np.maximum(a, b) + pad))
+    return np.concatenate([*out, p[-1:]])
 
 
 def _simple(p: np.ndarray, eps: float = 1e-4) -> np.ndarray:
@@ -185,8 +216,8 @@ def _simple(p: np.ndarray, eps: float = 1e-4) -> np.ndarray:
     return p[[*keep, len(p) - 1]] if len(p) > 1 else p
 
 
-def smooth_paths(steps: DataFrame, turn_circle: float = 12.0, smooth: bool = True) -> DataFrame:
-    """Points (field_id, path_id, point_no, x, y) of paths from their steps (point_no, x, y, heading_deg). A path is a unit of work of at most MAX_STEPS points."""
+def smooth_paths(steps: DataFrame, turn_circle: float = TURN_CIRCLE_M, smooth: bool = True) -> DataFrame:
+    """Points (field_id, path_id, point_no, x, y) of paths from their steps (point_no, x, y in bins, heading_deg). A path is a unit of work of at most MAX_STEPS points."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_no")
@@ -197,13 +228,14 @@ def smooth_paths(steps: DataFrame, turn_circle: float = 12.0, smooth: bool = Tru
     return steps.groupBy("field_id", "path_id").applyInPandas(one, "field_id int, path_id int, point_no int, x double, y double")
 
 
-def paths(cells: DataFrame, headings: DataFrame, turn_circle: float = 12.0) -> tuple[DataFrame, DataFrame]:
+def paths(cells: DataFrame, headings: DataFrame, turn_circle: float = TURN_CIRCLE_M) -> tuple[DataFrame, DataFrame]:
     """(path points, bin to path) for all cut bins: numbered in raster order, routed along the headings, smoothed; routes of one bin are left out but their numbers are used up."""
     start = tables.place_in_raster(cells.where("existing > target").select(*KEY), "path_id")
     got = routes(start, successors(headings)).where(F.size("route") >= 2)
     steps = got.select("field_id", "path_id", F.posexplode("route").alias("point_no", "p")).select("field_id", "path_id", "point_no", c("p.x").alias("bx"), c("p.y").alias("by_")).join(headings.select(*KEY, "heading_deg"), KEY)
-    steps = steps.withColumn("x", (c("bx") + 0.5) * BIN_M).withColumn("y", (c("by_") + 0.5) * BIN_M)
-    return smooth_paths(steps, turn_circle), start.join(got.select("field_id", "path_id"), ["field_id", "path_id"], "left_semi")
+    steps = steps.withColumn("x", c("bx") + 0.5).withColumn("y", c("by_") + 0.5)
+    points = smooth_paths(steps, turn_circle).withColumn("x", c("x") * BIN_M).withColumn("y", c("y") * BIN_M)
+    return points, start.join(got.select("field_id", "path_id"), ["field_id", "path_id"], "left_semi")
 
 
 def along(points: DataFrame) -> DataFrame:
@@ -231,6 +263,16 @@ def path_of_bin(cells: DataFrame, bin_paths: DataFrame, points: DataFrame) -> Da
     return cells.where("current > target").join(bin_paths, KEY).join(points, ["field_id", "path_id"]).select(*KEY, "path_id", "point_no", "x", "y")
 
 
-def sample_with_paths(cells: DataFrame, n: int, seed: str = "s") -> DataFrame:
-    """n bins by the order of a seeded hash."""
-    return cells.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "field_id", "bx", "by_"))).limit(n)
+def at_distance(points: DataFrame, metres: float) -> DataFrame:
+    """(field_id, path_id, x, y, heading_deg): where each path is so many metres from its start, and which way it goes there; its end beyond that. Paths without length are left out."""
+    seg = along(points).where("next_m > 0")
+    last = F.max("run_m").over(Window.partitionBy("field_id", "path_id"))
+    here = seg.withColumn("last", last).where(((c("run_m") <= metres) & (c("run_m") + c("next_m") > metres)) | ((c("run_m") == c("last")) & (c("run_m") + c("next_m") <= metres)))
+    share = F.least(F.greatest((F.lit(metres) - c("run_m")) / c("next_m"), F.lit(0.0)), F.lit(1.0))
+    place = [(c(a) + share * (c(f"next_{a}") - c(a))).alias(a) for a in ("x", "y")]
+    return here.select("field_id", "path_id", *place, geo.vector_heading(c("next_x") - c("x"), c("next_y") - c("y")).alias("heading_deg"))
+
+
+def sample_with_paths(cells: DataFrame, bin_paths: DataFrame, n: int, seed: str = "s") -> DataFrame:
+    """n of the cells that own a path (bin_paths: field_id, bx, by_), by the order of a seeded hash."""
+    return cells.join(bin_paths.select(*KEY), KEY, "left_semi").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "field_id", "bx", "by_"))).limit(n)
