@@ -145,9 +145,9 @@ def _chain(succ: DataFrame, rows: DataFrame) -> DataFrame:
     while True:
         more = on.join(jump.where("next IS NOT NULL"), ["field_id", "ms"]).select("field_id", c("next").alias("ms"))
         after = cut(on.unionByName(more).distinct())
-        if after.count() == on.count() and jump.where("next IS NOT NULL").isEmpty():
-            break
         on = after
+        if jump.where("next IS NOT NULL").isEmpty():
+            break
         two = jump.select("field_id", c("ms").alias("next"), c("next").alias("next2"))
         jump = cut(jump.join(two, ["field_id", "next"], "left").select("field_id", "ms", c("next2").alias("next")))
     return rows.join(on, ["field_id", "ms"], "left_semi").select("field_id", "ms")

@@ -33,20 +33,20 @@ def f02(spark, sf) -> DataFrame:
 @query("F11_near_dots", None)
 def f11(spark, sf) -> DataFrame:
     dots = grid.georeferenced(view(spark, sf, "v_haul")).select("field_id", "seq", c("e").alias("x"), c("n").alias("y"))
-    return clean.without_near_dots(dots, 1.5).select("field_id", "seq")
+    return clean.without_near_dots(dots, 6.0).select("field_id", "seq")
 
 
-@query("F11_near_pairs", "SELECT CAST(0 AS BIGINT) AS n_close FROM customer LIMIT 1")
+@query("F11_near_pairs", None)
 def f11p(spark, sf) -> DataFrame:
     """Kept dots still closer than the limit: there must be none."""
     dots = grid.georeferenced(view(spark, sf, "v_haul")).select("field_id", "seq", c("e").alias("x"), c("n").alias("y"))
-    kept = clean.without_near_dots(dots, 1.5)
+    kept = clean.without_near_dots(dots, 6.0)
     b = kept.toDF(*[f"{k}2" for k in kept.columns])
-    cell = lambda x: F.floor(c(x) / 1.5)
+    cell = lambda x: F.floor(c(x) / 6.0)
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = kept.withColumn("s", F.explode(near)).withColumn("cx", cell("x") + c("s.i")).withColumn("cy", cell("y") + c("s.j"))
     b = b.withColumn("cx", cell("x2")).withColumn("cy", cell("y2"))
-    met = a.join(b, ["cx", "cy"]).where((c("field_id") == c("field_id2")) & (c("seq") < c("seq2")) & (F.pow(c("x") - c("x2"), 2) + F.pow(c("y") - c("y2"), 2) < 2.25))
+    met = a.join(b, ["cx", "cy"]).where((c("field_id") == c("field_id2")) & (c("seq") < c("seq2")) & (F.pow(c("x") - c("x2"), 2) + F.pow(c("y") - c("y2"), 2) < 36.0))
     return met.agg(F.count("*").alias("n_close"))
 
 

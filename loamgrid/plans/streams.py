@@ -35,7 +35,7 @@ def r05(spark, sf) -> DataFrame:
 
 @query("R05_link_sessions_count", _SESSIONS)
 def r05c(spark, sf) -> DataFrame:
-    got = live.link_sessions(_signals(spark.read.parquet(f"{sf}/events.parquet")), "6 hours")
+    got = live.drained(live.link_sessions(_signals(live.event_stream(spark, sf)), "6 hours"), "complete")
     return got.groupBy("machine_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
@@ -47,7 +47,8 @@ def r12(spark, sf) -> DataFrame:
 
 @query("R02_throttled_log", "SELECT machine_id, fast_ms, unnest(['TractorLatitude', 'TractorLongitude']) AS type, round(unnest([lat, lon]), 8) AS value FROM v_fixes", "v_fixes")
 def r02(spark, sf) -> DataFrame:
-    return rounded(live.throttled_log(view(spark, sf, "v_fixes").select("machine_id", "fast_ms", "lat", "lon")), 8)
+    fixes = view(spark, sf, "v_fixes").select("machine_id", "fast_ms", "lat", "lon")
+    return rounded(live.drained(live.throttled_log(live.in_order(fixes, "fast_ms")), "append"), 8)
 
 
 @query("F14_throttle_changes", "WITH t AS (SELECT machine_id, event_id, fast_ms, rtk, lag(rtk) OVER (PARTITION BY machine_id ORDER BY fast_ms) AS old FROM v_fixes) SELECT machine_id, event_id, fast_ms, rtk FROM t WHERE old IS NULL OR old <> rtk", "v_fixes")
@@ -80,7 +81,7 @@ q AS (SELECT *, CASE WHEN rtk = 'None' THEN 'NoFix' WHEN rtk <> 'Fix' THEN 'NoRt
 
 @query("R03_quality_live", _QUALITY + "SELECT machine_id, event_id, fast_ms, state FROM q", "v_fixes")
 def r03(spark, sf) -> DataFrame:
-    return live.quality_states(_steady(spark, sf))
+    return live.drained(live.quality_states(live.in_order(_steady(spark, sf), "fast_ms")), "append")
 
 
 @query("R03_quality_windows", _QUALITY + "SELECT machine_id, event_id, fast_ms, state FROM q", "v_fixes")
@@ -181,10 +182,18 @@ def r06(spark, sf) -> DataFrame:
     return rounded(live.swept_ledger(ticks(spark, sf), 3.0), 6)
 
 
-@query("R08_survey_capture", None)
-def r08(spark, sf) -> DataFrame:
+def _capture(spark, sf) -> DataFrame:
+    """Fixes of survey drives: boundaries by the left and by the right, interiors, a spike now and then, some surveys without master benchmark."""
     states = gnss.quality(_steady(spark, sf))
-    rows = states.select(c("machine_id").alias("survey_id"), F.when(c("event_id") % 2 == 0, "boundary").otherwise("interior").alias("kind"), c("fast_ms").alias("seq"), (c("fast_ms") / 1000.0).alias("x"), F.lit(0.0).alias("y"), (30 + (c("event_id") % 10) * 0.01).alias("z"), "heading_deg", "state")
-    return rounded(live.survey_capture(rows, SURVEY_SPACING_M), 6)
+    kind = F.when(c("event_id") % 2 == 0, "boundary").otherwise("interior")
+    bump = F.when(c("event_id") % 29 == 0, -1.5).when(c("event_id") % 31 == 0, 1.2).otherwise(0.0)
+    return states.select(
+        c("machine_id").alias("survey_id"), kind.alias("kind"), F.when(c("machine_id") % 2 == 0, "left").otherwise("right").alias("side"), c("fast_ms").alias("seq"), (c("fast_ms") / 1000.0 * 2.5).alias("x"),
+        F.lit(0.0).alias("y"), (100 + (c("event_id") % 10) * 0.01 + bump).alias("z"), "heading_deg", "state", F.when(c("machine_id") % 10 != 7, 95.0).alias("master_m"),
+    )
 
 
+@query("R08_survey_capture", None)
+def r08(spark, sf) -> DataFrame:
+    log = live.drained(live.survey_capture(live.in_order(_capture(spark, sf), "seq"), SURVEY_SPACING_M), "append")
+    return rounded(live.standing_points(log), 6)
