@@ -18,27 +18,37 @@ def utm_zone(lon: Column) -> Column:
     return F.least(F.floor((lon + 180.0) / 6.0) + 1, F.lit(60)).cast("int")
 
 
-def to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
-    """(easting, northing) in metres by the transverse Mercator series; null outside -80..84 degrees."""
-    zone = utm_zone(lon) if zone is None else zone
-    p, c = F.radians(lat), F.cos(F.radians(lat))
-    s, t = F.sin(p), F.tan(p) * F.tan(p)
+def utm_angles(lat: Column, lon: Column, zone: Column) -> dict[str, Column]:
+    """What the series of to_utm is made of: latitude in radians, its sine and cosine, sines of its multiples, and the angle from the zone's meridian. Each is worth keeping as a column."""
+    p = F.radians(lat)
+    return {"p": p, "s": F.sin(p), "c": F.cos(p), "s2": F.sin(2 * p), "s4": F.sin(4 * p), "s6": F.sin(6 * p), "l": F.radians(lon - (zone * 6 - 183))}
+
+
+def utm_series(lat: Column, of: dict[str, Column]) -> tuple[Column, Column]:
+    """(easting, northing) in metres from utm_angles by the transverse Mercator series; null outside -80..84 degrees."""
+    p, s, c = of["p"], of["s"], of["c"]
+    t = (s / c) * (s / c)
     n = WGS84_A / F.sqrt(1 - E2 * s * s)
     cc = EP2 * c * c
-    a = c * F.radians(lon - (zone * 6 - 183))
+    a = c * of["l"]
     m = WGS84_A * (
         (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256) * p
-        - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * F.sin(2 * p)
-        + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * F.sin(4 * p)
-        - (35 * E2**3 / 3072) * F.sin(6 * p)
+        - (3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024) * of["s2"]
+        + (15 * E2**2 / 256 + 45 * E2**3 / 1024) * of["s4"]
+        - (35 * E2**3 / 3072) * of["s6"]
     )
     a2 = a * a
     east = 500000.0 + UTM_K0 * n * a * (1 + (1 - t + cc) * a2 / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * EP2) * a2 * a2 / 120)
-    north = UTM_K0 * (m + n * F.tan(p) * a2 * (0.5 + (5 - t + 9 * cc + 4 * cc * cc) * a2 / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * EP2) * a2 * a2 / 720))
+    north = UTM_K0 * (m + n * (s / c) * a2 * (0.5 + (5 - t + 9 * cc + 4 * cc * cc) * a2 / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * EP2) * a2 * a2 / 720))
     valid = lat.between(-80.0, 84.0)
     return F.when(valid, east), F.when(valid, north + F.when(lat < 0, 10000000.0).otherwise(0.0))
 
 
+def to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """(easting, northing) in metres; null outside -80..84 degrees."""
+    return utm_series(lat, utm_angles(lat, lon, utm_zone(lon) if zone is None else zone))
+
+
 def from_utm(east: Column, north: Column, zone: Column, is_north: Column | None = None) -> tuple[Column, Column]:
     """(lat, lon) in degrees of a place in a zone."""
     is_north = F.lit(True) if is_north is None else is_north

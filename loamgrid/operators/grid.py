@@ -12,10 +12,12 @@ KEY = ["field_id", "bx", "by_"]
 
 
 def georeferenced(points: DataFrame) -> DataFrame:
-    """points (lat, lon) with zone, e and n."""
+    """points (lat, lon) with zone, e and n. The angles, and then e and n, leave a generator: else Spark would put their formulas into every use of e and n."""
     points = points.withColumn("zone", geo.utm_zone(F.col("lon")))
-    e, n = geo.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
-    return points.withColumn("e", e).withColumn("n", n)
+    angles = geo.utm_angles(F.col("lat"), F.col("lon"), F.col("zone"))
+    kept = points.select("*", F.inline(F.array(F.struct(*[v.alias(f"__{k}") for k, v in angles.items()]))))
+    e, n = geo.utm_series(F.col("lat"), {k: F.col(f"__{k}") for k in angles})
+    return kept.select(*[F.col(k) for k in points.columns if k not in ("e", "n")], F.inline(F.array(F.struct(e.alias("e"), n.alias("n")))))
 
 
 def field_extents(points: DataFrame, pad: bool = False) -> DataFrame:
