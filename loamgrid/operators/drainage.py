@@ -48,7 +48,7 @@ def _flood(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def filled(dem: DataFrame, block: int = 128, max_rounds: int = 1000) -> DataFrame:
+def filled(dem: DataFrame, block: int = 128, max_rounds: int = 100_000) -> DataFrame:
     """dem (field_id, bx, by_, z; valid cells only) with filled: the height to which water stands before it runs off over the rectangle's edge; cells that no path joins to the edge keep their own.
 
     Blocks flood on their own and tell their neighbours; rounds go on until no block changes, so their number is that of
@@ -60,6 +60,8 @@ def filled(dem: DataFrame, block: int = 128, max_rounds: int = 1000) -> DataFram
         state = after.drop("changed")
         if after.where("changed").isEmpty():
             break
+    else:
+        raise RuntimeError("the surface did not settle")
     return state.select(*KEY, "z", F.when(c("filled") == float("inf"), c("z")).otherwise(c("filled")).alias("filled"))
 
 

@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, as in tests, a new local folder, but only if driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="spark-loamgrid-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

@@ -217,16 +217,29 @@ def observed_mask(seen: DataFrame) -> DataFrame:
     return largest_component(filled_holes(closed)).unionByName(seen.select(*KEY)).distinct()
 
 
-def balanced_plane(cells: DataFrame, a: float, b: float, ratio: float = FILL_RATIO, buckets: int = 64, rounds: int = 12) -> DataFrame:
-    """(field_id, c): the height at which the plane z = a E + b N + c over cells (x, y, z) takes ratio times as much fill as it gives cut.
+#: Heights between which the offset of a design plane is looked for.
+LEAST_OFFSET_M, MOST_OFFSET_M = 0.0, 100.0
+
+
+def balanced_plane(cells: DataFrame, a: float, b: float, ratio: float = FILL_RATIO, import_m3: float = 0.0, export_m3: float = 0.0, buckets: int = 64, rounds: int = 12) -> DataFrame:
+    """(field_id, c): the height at which the cut of the plane z = a E + b N + c over cells (x, y, z), and what is brought in, are ratio times the fill and what is taken away. c is null where no height from 0 to 100 m balances.
 
     The balance falls with c and is linear between the cells' residuals. Each round counts residuals in buckets of the
     bracket (a row a bucket) and keeps the bucket where the balance changes sign; in the last one it is a line.
     """
-    r = cells.select("field_id", (c("z") - a * c("x") - b * c("y")).alias("r"))
-    r = cut(r)
-    bracket = r.groupBy("field_id").agg((F.min("r") - 1e-9).alias("lo"), (F.max("r") + 1e-9).alias("hi"), F.count("*").alias("n"), F.sum("r").alias("s"))
-    state = cut(bracket.select("field_id", "lo", "hi", F.lit(0).cast("long").alias("n_below"), F.lit(0.0).alias("s_below"), F.lit(0).cast("long").alias("n_above"), F.lit(0.0).alias("s_above")))
+    net = (import_m3 - export_m3) / BIN_M**2
+    r = cut(cells.select("field_id", (c("z") - a * c("x") - b * c("y")).alias("r")))
+    lo, hi = LEAST_OFFSET_M, MOST_OFFSET_M
+
+    def at(height: float) -> Column:
+        d = c("r") - height
+        return F.sum(F.greatest(d, F.lit(0.0))) - ratio * F.sum(F.greatest(-d, F.lit(0.0))) + net
+
+    part = lambda where: (F.count_if(where), F.coalesce(F.sum(F.when(where, c("r"))), F.lit(0.0)))
+    (n0, s0), (n1, s1) = part(c("r") < lo), part(c("r") >= hi)
+    ends = cut(r.groupBy("field_id").agg(at(lo).alias("f0"), at(hi).alias("f1"), n0.alias("n_below"), s0.alias("s_below"), n1.alias("n_above"), s1.alias("s_above")))
+    found = c("f0") * c("f1") < 0
+    state = cut(ends.where(found).select("field_id", F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), "n_below", "s_below", "n_above", "s_above"))
     for _ in range(rounds):
         step = (c("hi") - c("lo")) / buckets
         inside = r.join(state, "field_id").where((c("r") >= c("lo")) & (c("r") < c("hi")))
@@ -238,13 +251,14 @@ def balanced_plane(cells: DataFrame, a: float, b: float, ratio: float = FILL_RAT
             "field_id", (c("lo") + c("k") * step).alias("lo"), (c("lo") + (c("k") + 1) * step).alias("hi"), (c("n_below") + F.coalesce(F.sum("n").over(up), F.lit(0))).alias("n_below"), (c("s_below") + F.coalesce(F.sum("s").over(up), F.lit(0.0))).alias("s_below"),
             (c("n_above") + F.coalesce(F.sum("n").over(down), F.lit(0))).alias("n_above"), (c("s_above") + F.coalesce(F.sum("s").over(down), F.lit(0.0))).alias("s_above"), "n", "s", "k",
         )
-        balance = (c("s_above") - c("n_above") * c("hi")) - ratio * (c("n_below") * c("hi") - c("s_below")) - ratio * (c("n") * c("hi") - c("s"))  # at the bucket's upper end, where its cells are fill
+        balance = net + (c("s_above") - c("n_above") * c("hi")) - ratio * (c("n_below") * c("hi") - c("s_below")) - ratio * (c("n") * c("hi") - c("s"))  # at the bucket's upper end, where its cells are fill
         state = cut(every.where((balance <= 0) | (c("k") == buckets - 1)).groupBy("field_id").agg(F.min_by(F.struct("lo", "hi", "n_below", "s_below", "n_above", "s_above"), "k").alias("b")).select("field_id", "b.*"))
     rest = r.join(state, "field_id").where((c("r") >= c("lo")) & (c("r") < c("hi"))).groupBy("field_id").agg(F.count("*").alias("n"), F.sum("r").alias("s"))
     got = state.join(rest, "field_id", "left").fillna({"n": 0, "s": 0.0})
     # In the last bucket its cells count half as cut, half as fill: their width is beyond the precision of heights.
     n_up, s_up, n_down, s_down = c("n_above") + c("n") / 2, c("s_above") + c("s") / 2, c("n_below") + c("n") / 2, c("s_below") + c("s") / 2
-    return got.select("field_id", ((s_up + ratio * s_down) / (n_up + ratio * n_down)).alias("c"))
+    solved = got.select("field_id", ((s_up + ratio * s_down + net) / (n_up + ratio * n_down)).alias("c"))
+    return ends.select("field_id").join(solved, "field_id", "left")
 
 
 def plane_volumes(cells: DataFrame, plane: DataFrame, a: float, b: float) -> DataFrame:
