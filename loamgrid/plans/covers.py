@@ -15,13 +15,13 @@ _E, _N = utm_sql("lat", "lon")
 
 def _squares(spark, sf) -> DataFrame:
     """A rotated square of each haul sample's own size, in metres from a corner."""
-    h = view(spark, sf, "v_haul").where("field_id = 0")
+    h = view(spark, sf, "v_haul")
     x, y, r = (c("seq") % 97) * 1.0 + 10, (c("seq") % 61) * 1.0 + 10, (c("seq") % 5) * 0.4 + 0.9
     point = lambda a, b: F.struct((x + a * r).alias("x"), (y + b * r).alias("y"))
     return h.select("seq", r.alias("r"), F.array(point(0.8, -0.6), point(0.6, 0.8), point(-0.8, 0.6), point(-0.6, -0.8)).alias("ring"))
 
 
-@query("J02_polygon_areas", "SELECT c_custkey AS seq, round(2 * pow((c_custkey % 5) * 0.4e0 + 0.9e0, 2), 4) AS area_m2 FROM customer WHERE c_custkey % 4 = 0")
+@query("J02_polygon_areas", "SELECT c_custkey AS seq, round(2 * pow((c_custkey % 5) * 0.4e0 + 0.9e0, 2), 4) AS area_m2 FROM customer")
 def j02(spark, sf) -> DataFrame:
     """Clipped areas over all bins add up to the polygon's."""
     got = cover.polygon_bins(_squares(spark, sf), BIN_M, 0.0, "seq")
@@ -64,7 +64,7 @@ def j13(spark, sf) -> DataFrame:
 
 @query(
     "T07_ring_order",
-    f"""WITH b AS (SELECT field_id, seq, {_E} AS x, {_N} AS y FROM v_haul WHERE seq % 10 = 1), m AS (SELECT *, avg(x) OVER (PARTITION BY field_id) AS mx, avg(y) OVER (PARTITION BY field_id) AS my FROM b),
+    f"""WITH b AS (SELECT field_id, seq, {_E} AS x, {_N} AS y FROM v_haul), m AS (SELECT *, avg(x) OVER (PARTITION BY field_id) AS mx, avg(y) OVER (PARTITION BY field_id) AS my FROM b),
 o AS (SELECT *, row_number() OVER s AS k1, row_number() OVER a AS k2, coalesce(lead(x) OVER s, first_value(x) OVER s) AS x1, coalesce(lead(y) OVER s, first_value(y) OVER s) AS y1, coalesce(lead(x) OVER a, first_value(x) OVER a) AS x2, coalesce(lead(y) OVER a, first_value(y) OVER a) AS y2 FROM m
   WINDOW s AS (PARTITION BY field_id ORDER BY seq), a AS (PARTITION BY field_id ORDER BY atan2(y - my, x - mx), seq)),
 t AS (SELECT *, sum(sqrt(pow(x1 - x, 2) + pow(y1 - y, 2))) OVER (PARTITION BY field_id) AS l1, sum(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2))) OVER (PARTITION BY field_id) AS l2 FROM o)
@@ -72,35 +72,36 @@ SELECT field_id, seq, CASE WHEN l2 < l1 THEN k2 ELSE k1 END AS place FROM t""",
     "v_haul",
 )
 def t07(spark, sf) -> DataFrame:
-    dots = grid.georeferenced(view(spark, sf, "v_haul").where("seq % 10 = 1")).select("field_id", "seq", c("e").alias("x"), c("n").alias("y"))
+    dots = grid.georeferenced(view(spark, sf, "v_haul")).select("field_id", "seq", c("e").alias("x"), c("n").alias("y"))
     return cover.ring_order(dots).select("field_id", "seq", "place")
 
 
-_NEAREST = f"""WITH p AS (SELECT field_id, seq, existing, {_E} AS e, {_N} AS n FROM v_points WHERE seq % 10 = 3), m AS (SELECT field_id, name, elevation_m, {_E} AS me, {_N} AS mn FROM v_benchmarks),
+_NEAREST = f"""WITH p AS (SELECT field_id, seq, existing, {_E} AS e, {_N} AS n FROM v_points), m AS (SELECT field_id, name, elevation_m, {_E} AS me, {_N} AS mn FROM v_benchmarks),
 d AS (SELECT p.*, name, round(me - e, 3) AS de, round(mn - n, 3) AS dn, round(elevation_m - existing, 9) AS dh, row_number() OVER (PARTITION BY p.field_id, seq ORDER BY pow(me - e, 2) + pow(mn - n, 2), name) AS k FROM p JOIN m USING (field_id))
 SELECT field_id, seq, name AS benchmark, de, dn, dh FROM d WHERE k = 1"""
 
 
 @query("J03_nearest_benchmark", _NEAREST, "v_points v_benchmarks")
 def j03(spark, sf) -> DataFrame:
-    pts = grid.georeferenced(view(spark, sf, "v_points").where("seq % 10 = 3")).withColumn("elevation_m", c("existing"))
+    pts = grid.georeferenced(view(spark, sf, "v_points")).withColumn("elevation_m", c("existing"))
     got = gnss.nearest_benchmark(pts, grid.georeferenced(view(spark, sf, "v_benchmarks")))
     return got.select("field_id", "seq", "benchmark", F.round("de", 3).alias("de"), F.round("dn", 3).alias("dn"), F.round("dh", 9).alias("dh"))
 
 
 @query("T09_nearest_one", _NEAREST.replace("SELECT field_id, seq, name AS benchmark, de, dn, dh FROM d", "SELECT field_id, seq, name AS benchmark FROM d"), "v_points v_benchmarks")
 def t09(spark, sf) -> DataFrame:
-    pts = grid.georeferenced(view(spark, sf, "v_points").where("seq % 10 = 3")).withColumn("elevation_m", c("existing"))
+    pts = grid.georeferenced(view(spark, sf, "v_points")).withColumn("elevation_m", c("existing"))
     return gnss.nearest_benchmark(pts, grid.georeferenced(view(spark, sf, "v_benchmarks"))).select("field_id", "seq", "benchmark")
 
 
 def knn_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    cells = view(spark, sf, "v_grid").where("bx % 5 = 0 AND by_ % 4 = 0").select("field_id", "bx", "by_", (c("bx") * 2.0).alias("x"), (c("by_") * 1.5).alias("y"))
+    """The asked cells are those whose number is divisible by 20, against all points."""
+    cells = view(spark, sf, "v_grid").where("(by_ * 50 + bx) % 20 = 0").select("field_id", "bx", "by_", (c("bx") * 2.0).alias("x"), (c("by_") * 1.5).alias("y"))
     dots = view(spark, sf, "v_haul").select(F.lit(0).alias("field_id"), "seq", ((c("seq") * 37) % 1009 / 10.0).alias("x"), ((c("seq") * 53) % 613 / 10.0).alias("y"), (30 + (c("seq") % 11) * 0.05).alias("z"))
     return cells, dots
 
 
-_KNN = """WITH g AS (SELECT bx, by_, bx * 2.0e0 AS x, by_ * 1.5e0 AS y FROM v_grid WHERE bx % 5 = 0 AND by_ % 4 = 0), p AS (SELECT seq, ((seq * 37) % 1009) / 10.0e0 AS px, ((seq * 53) % 613) / 10.0e0 AS py, 30 + (seq % 11) * 0.05e0 AS z FROM v_haul),
+_KNN = """WITH g AS (SELECT bx, by_, bx * 2.0e0 AS x, by_ * 1.5e0 AS y FROM v_grid WHERE (by_ * 50 + bx) % 20 = 0), p AS (SELECT seq, ((seq * 37) % 1009) / 10.0e0 AS px, ((seq * 53) % 613) / 10.0e0 AS py, 30 + (seq % 11) * 0.05e0 AS z FROM v_haul),
 d AS (SELECT bx, by_, x, y, seq, px, py, z, pow(px - x, 2) + pow(py - y, 2) AS d2, row_number() OVER (PARTITION BY bx, by_ ORDER BY pow(px - x, 2) + pow(py - y, 2), seq) AS place FROM g, p)
 """
 
@@ -130,17 +131,26 @@ def g05(spark, sf) -> DataFrame:
     return rounded(surface.design_surface(cells, dots).select("bx", "by_", "z"), 6)
 
 
+#: Heights are whole eighths of a millimetre and tenths of a millimetre, so their sums are exact in both engines.
+_EXACT = """WITH w AS (SELECT field_id, seq, bx, by_, CAST(floor(existing * 8000 + 0.5e0) AS BIGINT) AS z8, CAST(floor(target * 10000 + 0.5e0) AS BIGINT) AS t10, width, height FROM binned),
+b AS (SELECT field_id, bx, by_, floor(1.0e0 * sum(z8) / count(*) / 8000 * 1e6 + 0.5e0) / 1e6 AS z, floor(1.0e0 * sum(t10) / count(*) / 10000 * 1e6 + 0.5e0) / 1e6 AS t FROM w WHERE bx < width AND by_ < height AND bx % 4 <> 0 GROUP BY field_id, bx, by_)
+"""
+
+
 @query(
     "J15_set_points",
-    """WITH f AS (SELECT p.field_id, seq, round(b.existing, 6) AS z, round(b.target, 6) AS t FROM binned p LEFT JOIN bins b ON p.field_id = b.field_id AND p.bx = b.bx AND p.by_ = b.by_ AND p.bx % 4 <> 0)
-SELECT field_id, seq, CASE WHEN z IS NULL THEN 0.3e0 WHEN abs(z - t) <= 0.01 THEN 0.0e0 ELSE round(greatest(-0.1e0, least(0.05e0, t - z)), 6) END AS blade_m FROM f""",
-    "bins",
+    _EXACT + """SELECT w.field_id, seq, CASE WHEN z IS NULL THEN 0.3e0 WHEN abs(z - t) <= 0.01 THEN 0.0e0 ELSE floor(greatest(-0.1e0, least(0.05e0, t - z)) * 1e6 + 0.5e0) / 1e6 END AS blade_m
+FROM w LEFT JOIN b ON w.field_id = b.field_id AND w.bx = b.bx AND w.by_ = b.by_""",
+    "binned",
 )
 def j15(spark, sf) -> DataFrame:
     pts = grid.binned(grid.georeferenced(view(spark, sf, "v_points")))
-    cells = grid.bin_means(pts).where("bx % 4 <> 0").select("field_id", "bx", "by_", F.round("existing", 6).alias("z"), F.round("target", 6).alias("t"))
+    whole = lambda x, k: F.floor(c(x) * k + 0.5)
+    half_up = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
+    sums = pts.where(grid.in_grid() & (c("bx") % 4 != 0)).groupBy(*grid.KEY).agg(F.sum(whole("existing", 8000)).alias("z8"), F.sum(whole("target", 10000)).alias("t10"), F.count("*").alias("n"))
+    cells = sums.select(*grid.KEY, half_up(c("z8").cast("double") / c("n") / 8000).alias("z"), half_up(c("t10").cast("double") / c("n") / 10000).alias("t"))
     got = pts.select("field_id", "seq", "bx", "by_").join(cells, grid.KEY, "left")
-    return got.select("field_id", "seq", F.round(set_point(c("z"), c("t"), 0.3, 0.1, 0.05), 6).alias("blade_m"))
+    return got.select("field_id", "seq", half_up(set_point(c("z"), c("t"), 0.3, 0.1, 0.05)).alias("blade_m"))
 
 
 def set_point(z, target, transport: float, most_cut: float, most_fill: float):
@@ -158,18 +168,24 @@ def w10(spark, sf) -> DataFrame:
     return tables.place_in_raster(bins(spark, sf).where("existing > target").select(*grid.KEY), "path_id").select(*grid.KEY, "path_id")
 
 
-@query("F06_random_bins", _CUTS + " SELECT field_id, bx, by_ FROM k ORDER BY md5('s:' || field_id || ':' || bx || ':' || by_) LIMIT 25", "bins")
+#: Cut bins of every third column own a path.
+_OWNED = "bx % 3 = 1"
+
+
+@query("F06_random_bins", _CUTS + f" SELECT field_id, bx, by_ FROM k WHERE {_OWNED} ORDER BY md5('s:' || field_id || ':' || bx || ':' || by_) LIMIT 25", "bins")
 def f06(spark, sf) -> DataFrame:
     from ..operators import haul
 
-    return haul.sample_with_paths(bins(spark, sf).where("existing > target").select(*grid.KEY), 25)
+    cuts = bins(spark, sf).where("existing > target").select(*grid.KEY)
+    return haul.sample_with_paths(cuts, view(spark, sf, "v_op_bins").select("field_id").distinct().join(cuts.where(_OWNED), "field_id"), 25)
 
 
 @query("T05_random_n", "SELECT field_id, bx, by_ FROM v_grid ORDER BY md5('t:' || field_id || ':' || bx || ':' || by_) LIMIT 50", "v_grid")
 def t05(spark, sf) -> DataFrame:
     from ..operators import haul
 
-    return haul.sample_with_paths(view(spark, sf, "v_grid").select(*grid.KEY), 50, "t")
+    cells = view(spark, sf, "v_grid").select(*grid.KEY)
+    return haul.sample_with_paths(cells, cells, 50, "t")
 
 
 @query("T03_sorted_export", "SELECT field_id, bx, by_, row_number() OVER (PARTITION BY field_id ORDER BY bx, by_) AS place FROM v_grid", "v_grid")

@@ -18,11 +18,11 @@ def a05(spark, sf) -> DataFrame:
     return rounded(ledger.completed_volumes(view(spark, sf, "v_op_bins")))
 
 
-_INITIAL = "WITH i AS (SELECT f.field_id, g.bx, g.by_, g.z AS initial_m FROM v_grid g, (SELECT DISTINCT field_id FROM v_op_bins) f WHERE g.by_ < 40)\n"
+_INITIAL = "WITH i AS (SELECT f.field_id, g.bx, g.by_, g.z AS initial_m FROM v_grid g, (SELECT DISTINCT field_id FROM v_op_bins) f)\n"
 
 
 def _initial(spark, sf) -> DataFrame:
-    cells = view(spark, sf, "v_grid").where("by_ < 40").drop("field_id").withColumn("field_id", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    cells = view(spark, sf, "v_grid").drop("field_id").withColumn("field_id", F.explode(F.array(*[F.lit(k) for k in range(4)])))
     return cells.select("field_id", "bx", "by_", c("z").alias("initial_m"))
 
 
@@ -97,13 +97,17 @@ def a15(spark, sf) -> DataFrame:
     return tables.numbered(files, "file", "-V")
 
 
+_FILES = "op_id % 4 = floor(op_id / 40.0e0) % 4 OR op_id % 31 = 0"
+
+
 @query(
     "A21_catalogue",
-    "WITH f AS (SELECT field_id, op_id % 50 AS folder, count(*) AS n, min(op_id) AS db FROM v_ops WHERE op_id < 300 OR op_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT folder, count(*) AS n_dbs, min(field_id) AS field_id FROM f GROUP BY folder HAVING count(*) = 1) SELECT folder, field_id, n_dbs FROM g",
+    f"WITH f AS (SELECT DISTINCT CAST(floor(op_id / 40.0e0) AS BIGINT) AS folder, field_id FROM v_ops WHERE {_FILES}) SELECT folder, min(field_id) AS field_id, count(*) AS n_dbs FROM f GROUP BY folder HAVING count(*) = 1",
     "v_ops",
 )
 def a21(spark, sf) -> DataFrame:
-    files = view(spark, sf, "v_ops").where("op_id < 300 OR op_id % 3 = 0").select((c("op_id") % 50).alias("folder"), "field_id").distinct()
+    """Folders that hold the database of one field only; a few hold a second one."""
+    files = view(spark, sf, "v_ops").where(_FILES).select(F.floor(c("op_id") / 40.0).alias("folder"), "field_id").distinct()
     return files.groupBy("folder").agg(F.min("field_id").alias("field_id"), F.count("*").alias("n_dbs")).where("n_dbs = 1")
 
 

@@ -221,7 +221,7 @@ def p20(spark, sf) -> DataFrame:
     a, b = geo.plane_slopes(0.2, 0.1, 90.0)
     fields = view(spark, sf, "v_points").select("field_id").distinct().withColumn("a", F.lit(a)).withColumn("b", F.lit(b))
     slope, heading = geo.composite_slope(c("a"), c("b"))
-    return fields.select("field_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(slope, 6).alias("slope_pct"), F.round(heading, 4).alias("heading"))
+    return fields.select("field_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(slope, 6).alias("slope_pct"), F.round(heading, 6).alias("heading"))
 
 
 _TILES = """WITH x AS (SELECT field_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM v_points GROUP BY field_id),
@@ -276,13 +276,13 @@ def p24(spark, sf) -> DataFrame:
 @query(
     "P25_pixels",
     """WITH p AS (SELECT field_id, bx, by_, 36.001e0 - (by_ + 0.5e0) / 400 * 0.001e0 AS lat, -93.5e0 + (bx + 0.5e0) / 50 * 0.00075e0 AS lon, CAST(bx - 20 AS DOUBLE) AS dx, CAST(by_ - 10 AS DOUBLE) AS dy FROM v_grid),
-d AS (SELECT *, degrees(atan2(dx, -dy)) AS h FROM p) SELECT field_id, bx, by_, round(lat, 8) AS lat, round(lon, 8) AS lon, round(CASE WHEN h < 0 THEN h + 360 ELSE h END, 4) AS heading FROM d""",
+d AS (SELECT *, degrees(atan2(dx, 0 - dy)) AS h FROM p) SELECT field_id, bx, by_, round(lat, 8) AS lat, round(lon, 8) AS lon, round(CASE WHEN h < 0 THEN h + 360 ELSE h END, 6) AS heading FROM d""",
     "v_grid",
 )
 def p25(spark, sf) -> DataFrame:
     lat, lon = geo.pixel_to_latlon(c("bx") + 0.5, c("by_") + 0.5, F.lit(50.0), F.lit(400.0), F.lit(36.001), F.lit(36.0), F.lit(-93.49925), F.lit(-93.5))
     heading = geo.direction_north_up((c("bx") - 20).cast("double"), (c("by_") - 10).cast("double"))
-    return view(spark, sf, "v_grid").select("field_id", "bx", "by_", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"), F.round(heading, 4).alias("heading"))
+    return view(spark, sf, "v_grid").select("field_id", "bx", "by_", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"), F.round(heading, 6).alias("heading"))
 
 
 @query(
