@@ -19,15 +19,15 @@ def utm_zone(lon: Column) -> Column:
 
 
 def utm_angles(lat: Column, lon: Column, zone: Column) -> dict[str, Column]:
-    """What the series of to_utm is made of: latitude in radians, its sine and cosine, sines of its multiples, and the angle from the zone's meridian. Each is worth keeping as a column."""
+    """What the series of to_utm is made of: latitude in radians, its sine, cosine and tangent, sines of its multiples, and the angle from the zone's meridian. Each is worth keeping as a column."""
     p = F.radians(lat)
-    return {"p": p, "s": F.sin(p), "c": F.cos(p), "s2": F.sin(2 * p), "s4": F.sin(4 * p), "s6": F.sin(6 * p), "l": F.radians(lon - (zone * 6 - 183))}
+    return {"p": p, "s": F.sin(p), "c": F.cos(p), "t": F.tan(p), "s2": F.sin(2 * p), "s4": F.sin(4 * p), "s6": F.sin(6 * p), "l": F.radians(lon - (zone * 6 - 183))}
 
 
 def utm_series(lat: Column, of: dict[str, Column]) -> tuple[Column, Column]:
     """(easting, northing) in metres from utm_angles by the transverse Mercator series; null outside -80..84 degrees."""
     p, s, c = of["p"], of["s"], of["c"]
-    t = (s / c) * (s / c)
+    t = of["t"] * of["t"]
     n = WGS84_A / F.sqrt(1 - E2 * s * s)
     cc = EP2 * c * c
     a = c * of["l"]
@@ -39,7 +39,7 @@ def utm_series(lat: Column, of: dict[str, Column]) -> tuple[Column, Column]:
     )
     a2 = a * a
     east = 500000.0 + UTM_K0 * n * a * (1 + (1 - t + cc) * a2 / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * EP2) * a2 * a2 / 120)
-    north = UTM_K0 * (m + n * (s / c) * a2 * (0.5 + (5 - t + 9 * cc + 4 * cc * cc) * a2 / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * EP2) * a2 * a2 / 720))
+    north = UTM_K0 * (m + n * of["t"] * a2 * (0.5 + (5 - t + 9 * cc + 4 * cc * cc) * a2 / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * EP2) * a2 * a2 / 720))
     valid = lat.between(-80.0, 84.0)
     return F.when(valid, east), F.when(valid, north + F.when(lat < 0, 10000000.0).otherwise(0.0))
 
@@ -49,13 +49,17 @@ def to_utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column
     return utm_series(lat, utm_angles(lat, lon, utm_zone(lon) if zone is None else zone))
 
 
-def from_utm(east: Column, north: Column, zone: Column, is_north: Column | None = None) -> tuple[Column, Column]:
-    """(lat, lon) in degrees of a place in a zone."""
+def footpoint(north: Column, is_north: Column | None = None) -> Column:
+    """The latitude in radians on the central meridian that has the northing."""
     is_north = F.lit(True) if is_north is None else is_north
     m = (north - F.when(is_north, 0.0).otherwise(10000000.0)) / UTM_K0
     mu = m / (WGS84_A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    p = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    return mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+
+
+def from_footpoint(p: Column, east: Column, zone: Column) -> tuple[Column, Column]:
+    """(lat, lon) in degrees of a place in a zone from its footpoint and easting."""
     s, c = F.sin(p), F.cos(p)
     t, cc = F.tan(p) * F.tan(p), EP2 * c * c
     w = 1 - E2 * s * s
@@ -67,12 +71,9 @@ def from_utm(east: Column, north: Column, zone: Column, is_north: Column | None
     return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)
 
 
-def offset(lat: Column, lon: Column, east: Column, north: Column) -> tuple[Column, Column]:
-    """The place so many metres east and north, through UTM; no offset gives the place itself."""
-    e, n = to_utm(lat, lon)
-    a, b = from_utm(e + east, n + north, utm_zone(lon), lat >= 0)
-    still = (east == 0) & (north == 0)
-    return F.when(still, lat).otherwise(a), F.when(still, lon).otherwise(F.pmod(b + 180.0, F.lit(360.0)) - 180.0)
+def from_utm(east: Column, north: Column, zone: Column, is_north: Column | None = None) -> tuple[Column, Column]:
+    """(lat, lon) in degrees of a place in a zone."""
+    return from_footpoint(footpoint(north, is_north), east, zone)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

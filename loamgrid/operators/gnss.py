@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FRAME_MS, JITTER_MM, NO_HEIGHT, PARKED_MPH, PARKED_MS, RTK_MS, STABLE_MS, STALE_MS
 from ..functions import geo
+from . import grid
 
 c = F.col
 
@@ -22,10 +23,8 @@ def changes(rows: DataFrame, state: str, order: str = "fast_ms") -> DataFrame:
 
 def calibrated(rows: DataFrame, shift: DataFrame) -> DataFrame:
     """rows (lat, lon, height) moved by their field's de, dn and dh; sentinel heights stay."""
-    got = rows.join(shift, "field_id")
-    lat, lon = geo.offset(c("lat"), c("lon"), c("de"), c("dn"))
-    got = got.withColumn("__lat", lat).withColumn("lon", lon).withColumn("lat", c("__lat"))
-    return got.withColumn("height", F.when(c("height") == NO_HEIGHT, c("height")).otherwise(c("height") + c("dh"))).drop("__lat", "de", "dn", "dh")
+    got = grid.shifted(rows.join(shift, "field_id"), c("de"), c("dn"))
+    return got.withColumn("height", F.when(c("height") == NO_HEIGHT, c("height")).otherwise(c("height") + c("dh"))).drop("de", "dn", "dh")
 
 
 def valid_fixes(fixes: DataFrame) -> DataFrame:

@@ -11,13 +11,32 @@ from ..functions import geo
 KEY = ["field_id", "bx", "by_"]
 
 
+def let(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that leave a generator: else Spark would put their formulas into every use of them."""
+    return rows.select(*[F.col(k) for k in rows.columns if k not in columns], F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def georeferenced(points: DataFrame) -> DataFrame:
-    """points (lat, lon) with zone, e and n. The angles, and then e and n, leave a generator: else Spark would put their formulas into every use of e and n."""
-    points = points.withColumn("zone", geo.utm_zone(F.col("lon")))
+    """points (lat, lon) with zone, e and n."""
+    kept = points.withColumn("zone", geo.utm_zone(F.col("lon")))
     angles = geo.utm_angles(F.col("lat"), F.col("lon"), F.col("zone"))
-    kept = points.select("*", F.inline(F.array(F.struct(*[v.alias(f"__{k}") for k, v in angles.items()]))))
+    kept = let(kept, **{f"__{k}": v for k, v in angles.items()})
     e, n = geo.utm_series(F.col("lat"), {k: F.col(f"__{k}") for k in angles})
-    return kept.select(*[F.col(k) for k in points.columns if k not in ("e", "n")], F.inline(F.array(F.struct(e.alias("e"), n.alias("n")))))
+    return let(kept, e=e, n=n).drop(*[f"__{k}" for k in angles])
+
+
+def shifted(points: DataFrame, east: Column, north: Column) -> DataFrame:
+    """points with lat and lon moved so many metres east and north, through UTM; no offset leaves the place itself."""
+    names = points.columns
+    own = {k: f"__{k}_before" for k in ("zone", "e", "n") if k in names}
+    got = let(points, __east=east.cast("double"), __north=north.cast("double")).withColumnsRenamed(own)
+    got = georeferenced(got)
+    got = let(got, __p=geo.footpoint(F.col("n") + F.col("__north"), F.col("lat") >= 0))
+    lat, lon = geo.from_footpoint(F.col("__p"), F.col("e") + F.col("__east"), F.col("zone"))
+    got = let(got, __lat=lat, __lon=lon)
+    still = (F.col("__east") == 0) & (F.col("__north") == 0)
+    moved = {"lat": F.when(still, F.col("lat")).otherwise(F.col("__lat")), "lon": F.when(still, F.col("lon")).otherwise(F.pmod(F.col("__lon") + 180.0, F.lit(360.0)) - 180.0)}
+    return got.select(*[moved[k].alias(k) if k in moved else F.col(own.get(k, k)).alias(k) for k in names])
 
 
 def field_extents(points: DataFrame, pad: bool = False) -> DataFrame:

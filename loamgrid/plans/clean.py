@@ -135,9 +135,8 @@ def s03(spark, sf) -> DataFrame:
     head = F.lit("1\t0\t0\t100\tMB 36 0 0.0 N / 93 0 0.0 W")
     body = F.concat_ws("\t", c("seq").cast("string"), c("seq").cast("string"), (c("seq") * -2).cast("string"), F.lit("30.5"), F.lit("B"))
     got = readers.multiplane(n.select(F.lit("survey_m.txt").alias("file"), "seq", F.when(c("seq") == 0, head).otherwise(body).alias("line")))
-    e, m = geo.to_utm(c("lat"), c("lon"))
     e0, m0 = geo.to_utm(F.lit(36.0), F.lit(-93.0))
-    return rounded(got.select("seq", (e - e0).alias("de"), (m - m0).alias("dn")), 3)
+    return rounded(grid.georeferenced(got).select("seq", (c("e") - e0).alias("de"), (c("n") - m0).alias("dn")), 3)
 
 
 @query("S05_haul_samples", "SELECT seq, direction_deg FROM v_haul WHERE seq % 9 <> 0", "v_haul")

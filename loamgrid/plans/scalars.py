@@ -31,8 +31,7 @@ def p02(spark, sf) -> DataFrame:
     "v_benchmarks",
 )
 def p03(spark, sf) -> DataFrame:
-    lat, lon = geo.offset(c("lat"), c("lon"), F.lit(12.5), F.lit(-7.25))
-    moved = view(spark, sf, "v_benchmarks").select("field_id", "name", lat.alias("lat"), lon.alias("lon"))
+    moved = grid.shifted(view(spark, sf, "v_benchmarks").select("field_id", "name", "lat", "lon"), F.lit(12.5), F.lit(-7.25))
     return rounded(grid.georeferenced(moved).select("field_id", "name", "e", "n"), 3)
 
 
@@ -221,7 +220,7 @@ def p20(spark, sf) -> DataFrame:
     a, b = geo.plane_slopes(0.2, 0.1, 90.0)
     fields = view(spark, sf, "v_points").select("field_id").distinct().withColumn("a", F.lit(a)).withColumn("b", F.lit(b))
     slope, heading = geo.composite_slope(c("a"), c("b"))
-    return fields.select("field_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(slope, 6).alias("slope_pct"), F.round(heading, 6).alias("heading"))
+    return fields.select("field_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(slope, 6).alias("slope_pct"), F.round(heading, 4).alias("heading"))
 
 
 _TILES = """WITH x AS (SELECT field_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM v_points GROUP BY field_id),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import grid
 
 c = F.col
 
@@ -62,9 +63,9 @@ def multiplane(lines: DataFrame) -> DataFrame:
     head = lines.where("seq = 0").select("file", geo.dms_to_degrees(F.trim(F.split_part(place, F.lit("/"), F.lit(1)))).alias("lat0"), geo.dms_to_degrees(F.trim(F.split_part(place, F.lit("/"), F.lit(2)))).alias("lon0"), tab(2).try_cast("double").alias("de0"), tab(3).try_cast("double").alias("dn0"), (tab(4).try_cast("double") * unit).alias("elevation0_m"))
     body = lines.where("seq > 0").select("file", "seq", (tab(2).try_cast("double") * unit).alias("de"), (tab(3).try_cast("double") * unit).alias("dn"), (tab(4).try_cast("double") * unit).alias("elevation_m"), F.upper(F.coalesce(tab(5), F.lit(""))).alias("code"))
     got = body.where("de IS NOT NULL AND dn IS NOT NULL").join(head, "file")
-    lat, lon = geo.offset(c("lat0"), c("lon0"), c("de") - F.coalesce(c("de0") * unit, F.lit(0.0)), c("dn") - F.coalesce(c("dn0") * unit, F.lit(0.0)))
+    got = grid.shifted(got.withColumns({"lat": c("lat0"), "lon": c("lon0")}), c("de") - F.coalesce(c("de0") * unit, F.lit(0.0)), c("dn") - F.coalesce(c("dn0") * unit, F.lit(0.0)))
     kind = F.when(c("code") == "B", "boundary").when(c("code").startswith("MB"), "master").when(c("code").startswith("BM"), "benchmark").otherwise("interior")
-    return got.select("file", "seq", lat.alias("lat"), lon.alias("lon"), "elevation_m", kind.alias("kind"), "code")
+    return got.select("file", "seq", "lat", "lon", "elevation_m", kind.alias("kind"), "code")
 
 
 def multiplane_lines(rows: DataFrame, masters: DataFrame) -> DataFrame:
