@@ -10,7 +10,6 @@ UTM_K0 = 0.9996
 SPHERE_M = 6378137.0
 NO_HEIGHT = -1000.0
 NO_DATA = -9999.0
-HASH_CELL_M = 25.0
 NEIGHBOURS = 64
 SMOOTH_SIGMA = 3.0
 SWELL = 1.3

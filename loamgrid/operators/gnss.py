@@ -144,3 +144,14 @@ def densified(fixes: DataFrame, step_ms: int = 50, order: str = "fast_ms") -> Da
     metres = c("speed_kph") * (c("at_ms") - c(order)) / 3600.0
     lat, lon = geo.move(c("lat"), c("lon"), c("heading_deg"), metres)
     return got.withColumn("metres", metres).withColumn("at_lat", lat).withColumn("at_lon", lon).drop("__until")
+
+
+def swept_polygons(ticks: DataFrame, width_m: float, order: str = "seq") -> DataFrame:
+    """ticks (machine_id, x, y, heading_deg, mode) with ring and swept_m2: the quadrilateral between a blade's edge and that of the tick before in the same run of its mode; the first tick of a run has none."""
+    rows = runs(ticks, "mode", order)
+    east, north = F.cos(F.radians("heading_deg")) * (width_m / 2), -F.sin(F.radians("heading_deg")) * (width_m / 2)
+    rows = rows.withColumn("left", F.struct((c("x") - east).alias("x"), (c("y") - north).alias("y"))).withColumn("right", F.struct((c("x") + east).alias("x"), (c("y") + north).alias("y")))
+    w = Window.partitionBy("machine_id", "run_id").orderBy(order)
+    rows = rows.withColumn("ring", F.when(F.lag("left").over(w).isNotNull(), F.array(F.lag("left").over(w), F.lag("right").over(w), c("right"), c("left"))))
+    twice = lambda i, j: c("ring")[i]["x"] * c("ring")[j]["y"] - c("ring")[j]["x"] * c("ring")[i]["y"]
+    return rows.withColumn("swept_m2", F.abs(twice(0, 1) + twice(1, 2) + twice(2, 3) + twice(3, 0)) / 2).drop("left", "right")

@@ -117,6 +117,14 @@ def dem_meta(cells: DataFrame, layer: str) -> DataFrame:
     return got.withColumn("nodata", F.lit(NO_DATA)).withColumn("pixel", F.lit(BIN_M))
 
 
+def dem_placed(meta: DataFrame, extents: DataFrame) -> DataFrame:
+    """meta with the raster's place by its field's extents (min_e, min_n, zone, centroid_lat): its north-west and south-east corners, UTM zone and hemisphere, and the six values of a world file (pixel, rotations, minus pixel, centre of the first cell)."""
+    got = meta.join(extents.select("field_id", "min_e", "min_n", "zone", (c("centroid_lat") >= 0).alias("is_north")), "field_id")
+    got = got.withColumn("west_e", c("min_e")).withColumn("north_n", c("min_n") + c("nrows") * BIN_M).withColumn("east_e", c("min_e") + c("ncols") * BIN_M).withColumn("south_n", c("min_n"))
+    world = F.array(F.lit(BIN_M), F.lit(0.0), F.lit(0.0), F.lit(-BIN_M), c("west_e") + BIN_M / 2, c("north_n") - BIN_M / 2)
+    return got.withColumn("world", world).drop("min_e", "min_n")
+
+
 def latest(rows: DataFrame, keys: list[str], value: str, version: Column) -> DataFrame:
     """Last value of each key by version."""
     return rows.groupBy(*keys).agg(F.max_by(value, version).alias(value))
@@ -128,9 +136,9 @@ def numbered(names: DataFrame, text: str, prefix: str) -> DataFrame:
     return names.groupBy("field_id").agg((F.coalesce(F.max(n), F.lit(0)) + 1).alias("next"))
 
 
-def place_in_raster(cells: DataFrame, name: str) -> DataFrame:
-    """cells numbered row by row in each field, from 1: counts by row, then places inside the row, so no field is one task's sort."""
-    rows = cells.groupBy("field_id", "by_").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("field_id").orderBy("by_").rowsBetween(Window.unboundedPreceding, 0)) - c("n")
-    inside = F.row_number().over(Window.partitionBy("field_id", "by_").orderBy("bx"))
-    return cells.withColumn("inside", inside).join(rows.withColumn("before", before).drop("n"), ["field_id", "by_"]).withColumn(name, (c("before") + c("inside")).cast("int")).drop("inside", "before")
+def place_in_raster(cells: DataFrame, name: str, line: str = "by_", inner: str = "bx") -> DataFrame:
+    """cells numbered line by line in each field, from 1: counts by line, then places inside the line, so no field is one task's sort."""
+    rows = cells.groupBy("field_id", line).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("field_id").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)) - c("n")
+    inside = F.row_number().over(Window.partitionBy("field_id", line).orderBy(inner))
+    return cells.withColumn("inside", inside).join(rows.withColumn("before", before).drop("n"), ["field_id", line]).withColumn(name, (c("before") + c("inside")).cast("int")).drop("inside", "before")

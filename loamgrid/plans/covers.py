@@ -190,6 +190,6 @@ def t05(spark, sf) -> DataFrame:
 
 @query("T03_sorted_export", "SELECT field_id, bx, by_, row_number() OVER (PARTITION BY field_id ORDER BY bx, by_) AS place FROM v_grid", "v_grid")
 def t03(spark, sf) -> DataFrame:
-    from pyspark.sql import Window
+    from ..operators import tables
 
-    return view(spark, sf, "v_grid").select(*grid.KEY, F.row_number().over(Window.partitionBy("field_id").orderBy("bx", "by_")).alias("place"))
+    return tables.place_in_raster(view(spark, sf, "v_grid").select(*grid.KEY), "place", "bx", "by_").select(*grid.KEY, "place")

@@ -255,3 +255,16 @@ def g12(spark, sf) -> DataFrame:
 @query("S11_dem_meta", "SELECT field_id, CAST(max(by_) + 1 AS INT) AS nrows, CAST(max(bx) + 1 AS INT) AS ncols, round(min(existing), 9) AS min_z, round(max(existing), 9) AS max_z, -9999.0e0 AS nodata, 0.6096e0 AS pixel FROM bins GROUP BY field_id", "bins")
 def s11(spark, sf) -> DataFrame:
     return rounded(tables.dem_meta(bins(spark, sf), "existing"), 9)
+
+
+@query(
+    "S11_dem_placed",
+    f"""WITH d AS (SELECT field_id, max(by_) + 1 AS nrows, max(bx) + 1 AS ncols FROM bins GROUP BY field_id)
+SELECT field_id, nrows, ncols, 15 AS zone, true AS is_north, round(min_e, 3) AS west_e, round(min_n + nrows * {BIN_M}e0, 3) AS north_n, round(min_e + {BIN_M}e0 / 2, 3) AS first_e, round(min_n + nrows * {BIN_M}e0 - {BIN_M}e0 / 2, 3) AS first_n FROM d JOIN extents USING (field_id)""",
+    "bins",
+)
+def s11p(spark, sf) -> DataFrame:
+    pts = grid.georeferenced(view(spark, sf, "v_points"))
+    cells = grid.bin_means(grid.binned(pts))
+    got = tables.dem_placed(tables.dem_meta(cells, "existing"), grid.field_extents(pts))
+    return rounded(got.select("field_id", "nrows", "ncols", "zone", "is_north", "west_e", "north_n", F.element_at("world", 5).alias("first_e"), F.element_at("world", 6).alias("first_n")), 3)

@@ -177,6 +177,19 @@ def ticks(spark, sf) -> DataFrame:
     return view(spark, sf, "v_fixes").select("machine_id", (c("fast_ms") / 1000).cast("long").alias("seq"), (lane * 4.0 + 2.0).alias("x"), ((k % 20) * 0.5 + 1.0).alias("y"), F.lit(0.0).alias("heading_deg"), mode.alias("mode"), F.lit(0.03).alias("depth_m"))
 
 
+@query(
+    "W03_swept_polygons",
+    """WITH t AS (SELECT machine_id, fast_ms // 1000 AS seq, CASE WHEN (fast_ms // 1000 // 20) % 3 = 2 THEN 'FILL' ELSE 'CUT' END AS mode, (fast_ms // 1000 // 20) * 4.0e0 + 2.0e0 AS x, (fast_ms // 1000 % 20) * 0.5e0 + 1.0e0 AS y FROM v_fixes),
+p AS (SELECT *, lag(mode) OVER w AS m0, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM t WINDOW w AS (PARTITION BY machine_id ORDER BY seq))
+SELECT machine_id, seq, round(abs(y - y0) * 3.0e0, 6) AS swept_m2 FROM p WHERE m0 = mode""",
+    "v_fixes",
+)
+def w03(spark, sf) -> DataFrame:
+    """All drive north, so a sweep is as long as the way north, whatever lane it steps to."""
+    got = gnss.swept_polygons(ticks(spark, sf), 3.0).where("ring IS NOT NULL")
+    return rounded(got.select("machine_id", "seq", "swept_m2"), 6)
+
+
 @query("R06_blade_sweep", None)
 def r06(spark, sf) -> DataFrame:
     return rounded(live.swept_ledger(ticks(spark, sf), 3.0), 6)
