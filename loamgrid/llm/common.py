@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +39,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of each query that ends meanwhile: what was written needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
+    """Write df to a table in the shared folder and read it back: this cuts the lineage and survives lost executors. The shuffle files of the write go when it ends."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._loamgrid_path = path
     return back
@@ -57,14 +73,6 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over: it learns of them by garbage collection, in more than one step."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     """df with columns by these names, which an operator needs for its own work, called otherwise; and the columns that give df's own names back."""
     other = {c: c + "_of_the_input" if c in names else c for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, discard, read, set_aside, staged
+from .common import discard, read, set_aside, staged
 
 #: Jaccard similarity of the sets of words, 4/5, in whole numbers: 9 * shared >= 4 * (words of one + words of the other).
 #: Token frequencies are counted by hash, in so many counters.
@@ -117,14 +117,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     same text or a set of words with a Jaccard similarity of at least 4/5. Rows equal in doc_id and text count as one.
     """
     firsts, texts = distinct_lines(docs)
-    collect_garbage(docs.sparkSession)
     # 1. Different lines with any plausible partner: rows of five numbers meet by rare word, and none is doubled by a match.
     rows = prefixes(with_keys(texts, frequencies(texts)))
     found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.num") != F.col("b.num")) & plausible("a", "b"), "left_semi")
     chosen = staged(found.select("num").distinct(), "line-chosen")
     held = staged(texts.join(chosen, "num", "left_semi"), "line-held")
     discard(texts, chosen)
-    collect_garbage(docs.sparkSession)
     rows = staged(prefixes(with_keys(held, frequencies(held))), "line-prefixes")
     # 2. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
     earliest = rows.groupBy("tok").agg(F.min(F.struct("num", "m", "s1", "s2")).alias("w"), F.count("*").alias("c")).where("c > 1").select("tok", "w.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, discard, partitions, read, staged
+from .common import discard, partitions, read, staged
 
 MATCH, GRAM = 200, 32
 #: The number of batches grows with the logarithm of the bytes: one for each doubling beyond so many, two at least.
@@ -144,7 +144,6 @@ class SuffixIndex:
             discard(level, table)
             table, size = merged, size * 2
         self.levels.append((size, table))
-        collect_garbage(docs.sparkSession)
 
     def repeated(self) -> DataFrame:
         """(h, low, high) of all suffixes that occur more than once."""
@@ -238,7 +237,6 @@ def repeated_spans(docs: DataFrame, batches: int | None = None) -> DataFrame:
     repeated = staged(index.repeated(), "suffix-repeated")
     runs = staged(index.all_runs().join(repeated, "h").withColumn("alike", F.col("low") == F.col("high")).drop("low", "high"), "suffix-repeats")
     discard(*index.runs, *index.hits, *[level for _, level in index.levels])
-    collect_garbage(spark)
     # All surroundings alike: every string of the run is repeated. Else one of each different surroundings is looked into.
     alike = runs.where("alike").select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + MATCH).alias("last"))
     unlike = runs.where("NOT alike")
