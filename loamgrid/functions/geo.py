@@ -194,6 +194,14 @@ def share_of_range(z: Column, low: Column, high: Column, steps: int, flat: int)
     return F.when((high > low) & z.isNotNull() & ~F.isnan(z), step).otherwise(flat)
 
 
+def elevation_colour(step: Column) -> Column:
+    """(r, g, b), 0 to 255, of a colour step 0 to 255: hues from blue to red at full strength."""
+    k = (240.0 - step / 255.0 * 240.0) / 60
+    x = 1 - F.abs(k % 2 - 1)
+    part = lambda full, rising: F.floor(F.when(full, 1.0).when(rising, x).otherwise(0.0) * 255).cast("int")
+    return F.struct(part(k < 1, k < 2).alias("r"), part((k >= 1) & (k < 3), k < 4).alias("g"), part((k >= 3) & (k <= 4), (k >= 2) & (k < 3)).alias("b"))
+
+
 def plane_slopes(main_pct: float, cross_pct: float, heading_deg: float) -> tuple[float, float]:
     """(a, b): rise per metre east and north of a plane that falls main_pct along the heading and cross_pct to its right."""
     h = math.radians(heading_deg)

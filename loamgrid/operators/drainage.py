@@ -158,14 +158,19 @@ def cascaded(sink_rows: DataFrame) -> DataFrame:
     return state.drop("done", "got", "passes")
 
 
-def pond_depths(regions: DataFrame, stored: DataFrame, cell_area: float) -> DataFrame:
-    """Sink cells with pond: the water over each when the sink holds its stored volume. Closed form: with depths sorted falling and summed, the level is (sum of the first i - volume / area) / i at the first i where it is not below the next depth."""
+def pond_levels(regions: DataFrame, stored: DataFrame, cell_area: float) -> DataFrame:
+    """(field_id, sink, level): the depth of a sink's cells that stays dry when it holds its stored volume. Closed form: with depths sorted falling and summed, (sum of the first i - volume / area) / i at the first i where it is not below the next depth."""
     w = Window.partitionBy("field_id", "sink").orderBy(c("depth").desc(), "by_", "bx")
     rows = regions.join(stored.select("field_id", "sink", "stored"), ["field_id", "sink"])
     rows = rows.withColumn("i", F.row_number().over(w)).withColumn("total", F.sum("depth").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.coalesce(F.lead("depth").over(w), F.lit(0.0)))
     level = (c("total") - c("stored") / cell_area) / c("i")
-    level = rows.where(level >= c("after") - 1e-12).groupBy("field_id", "sink").agg(F.min_by(level, "i").alias("level"))
-    return rows.join(level, ["field_id", "sink"], "left").select(*KEY, "sink", F.greatest(c("depth") - F.greatest(F.coalesce("level", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("pond"))
+    return rows.where(level >= c("after") - 1e-12).groupBy("field_id", "sink").agg(F.greatest(F.min_by(level, "i"), F.lit(0.0)).alias("level"))
+
+
+def pond_depths(regions: DataFrame, stored: DataFrame, cell_area: float) -> DataFrame:
+    """Sink cells with pond: the water over each when the sink holds its stored volume."""
+    rows = regions.join(stored.select("field_id", "sink"), ["field_id", "sink"]).join(pond_levels(regions, stored, cell_area), ["field_id", "sink"], "left")
+    return rows.select(*KEY, "sink", F.greatest(c("depth") - F.coalesce("level", F.lit(0.0)), F.lit(0.0)).alias("pond"))
 
 
 def ponding(dem: DataFrame, runoff_m: float, cell_m: float, block: int = 128) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -59,3 +60,28 @@ def by_blocks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     spread = df.withColumn("block_x", F.explode(side("bx"))).withColumn("block_y", F.explode(side("by_")))
     spread = spread.withColumn("own", (F.floor(F.col("bx") / float(size)) == F.col("block_x")) & (F.floor(F.col("by_") / float(size)) == F.col("block_y")))
     return spread.groupBy("field_id", "block_x", "block_y").applyInPandas(lambda pdf: fn(pdf) if pdf["own"].any() else fn(pdf.iloc[:0]), schema)
+
+
+def walked(rows: DataFrame, keys: list[str], order: str, output: str | StructType, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, list[tuple]]], finish: Callable[[object], list[tuple]] | None = None) -> DataFrame:
+    """Rows of each key in order through step(state, row) -> (state, rows out), and finish(state) -> rows out behind the last.
+
+    Rows are sorted by Spark and come in batches, so a task holds one batch and one state, however many rows a key has.
+    """
+    names = output.fieldNames() if isinstance(output, StructType) else [x.split()[0] for x in output.split(", ")]
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, begun = start(), None, False
+        for pdf in frames:
+            out: list[tuple] = []
+            for key, row in zip(pdf[keys].itertuples(index=False, name=None), pdf.itertuples(index=False), strict=True):
+                if not begun or key != last:
+                    if begun and finish:
+                        out += finish(now)
+                    now, last, begun = start(), key, True
+                now, more = step(now, row)
+                out += more
+            yield pd.DataFrame(out, columns=names)
+        if begun and finish:
+            yield pd.DataFrame(finish(now), columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(walk, output)

@@ -95,6 +95,14 @@ def g19(spark, sf) -> DataFrame:
     return rows.join(held, ["field_id", "sink"]).groupBy("field_id").agg((F.max(F.abs(c("held") - c("stored"))) < 1e-9).alias("equal_"))
 
 
+@query("W12_pond_levels", None)
+def w12(spark, sf) -> DataFrame:
+    depths = _depths(spark, sf)
+    regions = drainage.sink_regions(depths)
+    half = regions.groupBy("field_id", "sink").agg((F.sum("depth") * 0.5 * 0.6096**2).alias("stored"))
+    return rounded(drainage.pond_levels(regions, half, 0.6096**2), 6)
+
+
 @query("G20_ponding", None)
 def g20(spark, sf) -> DataFrame:
     return rounded(_model(spark, sf)[0], 6)

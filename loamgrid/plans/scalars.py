@@ -211,6 +211,18 @@ _step("P18_colour_index", 256, 128)
 _step("P19_survey_band", 9, 4)
 
 
+@query(
+    "P18_palette",
+    """WITH s AS (SELECT field_id, seq, CAST(seq % 256 AS INT) AS step FROM v_points), k AS (SELECT *, (240.0e0 - step / 255.0e0 * 240.0e0) / 60 AS k FROM s), x AS (SELECT *, 1 - abs(k % 2 - 1) AS x FROM k)
+SELECT field_id, seq, step, CAST(floor(CASE WHEN k < 1 THEN 1 WHEN k < 2 THEN x ELSE 0 END * 255) AS INT) AS r, CAST(floor(CASE WHEN k < 1 THEN x WHEN k < 3 THEN 1 WHEN k < 4 THEN x ELSE 0 END * 255) AS INT) AS g,
+  CAST(floor(CASE WHEN k < 2 THEN 0 WHEN k < 3 THEN x ELSE 1 END * 255) AS INT) AS b FROM x""",
+    "v_points",
+)
+def p18p(spark, sf) -> DataFrame:
+    step = (c("seq") % 256).cast("int")
+    return view(spark, sf, "v_points").select("field_id", "seq", step.alias("step"), geo.elevation_colour(step).alias("p")).select("field_id", "seq", "step", "p.r", "p.g", "p.b")
+
+
 @query(
     "P20_slopes",
     "WITH s AS (SELECT field_id, count(*) AS n, 0.2e0 AS main, 0.1e0 AS crossing FROM v_points GROUP BY field_id) SELECT field_id, round(-main / 100, 6) AS a, round(crossing / 100, 6) AS b, round(sqrt(main * main + crossing * crossing), 6) AS slope_pct, round(90 + degrees(atan2(crossing, main)), 4) AS heading FROM s",

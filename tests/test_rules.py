@@ -216,3 +216,13 @@ def test_ledger_commit_replays_and_quarantines(spark, tmp_path):
     assert done == Counter([(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2), (1, 3), (1, 4)]) and bad == {(0, 9)}
     live.commit_ledger(stream, f"file://{tmp_path}/ledger", ledger.applied_once)
     assert live.committed(spark, f"file://{tmp_path}/ledger", schema).count() == 8
+
+
+def test_reset_begins_anew(spark):
+    """A steady receiver is Stable after 15 s, and again only 15 s after a reset."""
+    fixes = [(1, k, k * 1000, 36.0, -93.5, 0.1, "Fix", k == 40) for k in range(70)]
+    df = spark.createDataFrame(fixes, "machine_id long, event_id long, fast_ms long, lat double, lon double, speed_kph double, rtk string, reset boolean")
+    state = {r.event_id: r.state for r in live.quality_states(df).collect()}
+    assert [state[k] for k in (14, 15, 39, 40, 54, 55)] == ["Unstable", "Stable", "Stable", "Unstable", "Unstable", "Stable"] and state[69] == "Stable"
+    plain = {r.event_id: r.state for r in live.quality_states(df.drop("reset")).collect()}
+    assert plain[55] == "HighQuality"
