@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import components, partitions, read, staged
 
 THRESHOLD = 0.95
-#: Passes, each with its own 62 random hyperplanes, and the neighbours that a vector is compared with in each.
-PASSES = 16
+#: Each pass has its own 62 random hyperplanes. There are so many that a lone pair at the threshold is found with this
+#: probability, and at least LEAST_PASSES; a vector is compared with WINDOW neighbours in each.
+RECALL = 0.999
+LEAST_PASSES = 16
 WINDOW = 64
 SEED = 20_24
 #: Rows of a sorted pass that are compared as one block, and rows of a component that make a chunk.
@@ -26,6 +29,13 @@ def _planes(dim: int, passes: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, passes * _BITS))
 
 
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes over n vectors: a pair at the threshold shares the leading log2(n / window) signs of a pass, and so a window, with probability (1 - angle / pi) to that power."""
+    bits = max(1.0, math.log2(max(n, 1) / window))
+    hit = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return LEAST_PASSES if hit >= 1 else max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>): vectors that are not null or zero and have finite components only."""
     v = F.col("embedding").cast("array<double>")
@@ -138,18 +148,21 @@ def links_within(members: DataFrame, threshold: float, chunk: int = CHUNK) -> Da
     return found.groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for vectors (vec_id, embedding).
 
     Equal vectors (by a 128-bit hash of the components) are one class. The passes join classes into components; then
     all pairs inside a component are counted, so only a link between two components that no pass joined can be missed.
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of different
-    lengths. Repeated rows of a vec_id are vectors of their own; a class without any vec_id has no links.
+    lengths. Repeated rows of a vec_id are vectors of their own; a class without any vec_id has no links. The number of
+    passes follows the number of classes. Other columns are left out; an empty table stays empty.
     """
     good = usable(vectors)
     hashed = good.select("vec_id", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("again"), "v").alias("h2"), "v")
     classes = staged(hashed.groupBy("dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "vector-classes")
-    comp = staged(components(candidate_edges(classes.where("rep IS NOT NULL"), threshold, passes, window), "vector-edges"), "vector-components")
+    named = classes.where("rep IS NOT NULL")
+    passes = passes or passes_for(named.count(), threshold, window)
+    comp = staged(components(candidate_edges(named, threshold, passes, window), "vector-edges"), "vector-components")
     members = classes.join(comp, classes.rep == comp.id).select("component", "rep", "n", "v")
     counted = links_within(members, threshold)
     told = classes.drop("v").join(comp, classes.rep == comp.id, "left").drop("id").join(counted, "rep", "left")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql.functions import col
 
-from loamgrid.llm import language, lines, mixing, packing, quality, registry, simhash, substrings, urls, warc
+from loamgrid.llm import language, lines, mixing, packing, quality, registry, simhash, substrings, urls, vectors, warc
 
 
 def table(spark, d, name):
@@ -342,6 +342,22 @@ def test_op9_all_pairs(spark, tricky, sf):
         assert Counter(tuple(r) for r in registry.QUERIES["op9_near_vectors"](spark, d).select("vec_id", "n_links", "component_id", "kept").collect()) == want
 
 
+def test_op9_passes_and_recall(spark):
+    """Passes grow with the vectors; lone pairs near the threshold among many others are found."""
+    assert vectors.passes_for(50_000) == 16 < vectors.passes_for(10**6) < vectors.passes_for(10**8)
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((600, 32))
+    side -= (side * base[:600]).sum(axis=1, keepdims=True) * base[:600]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    twin = 0.9505 * base[:600] + np.sqrt(1 - 0.9505**2) * side
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, twin]))]
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[6000 + i] == got[i] for i in range(600))
+    assert found >= 594 and sum(got[i] != i for i in range(6000)) <= 2
+
+
 def test_op10_round_trip(spark, tricky, tmp_path):
     pages = table(spark, tricky, "pages")
     last = {}
