@@ -77,7 +77,7 @@ def t07(spark, sf) -> DataFrame:
 
 
 _NEAREST = f"""WITH p AS (SELECT field_id, seq, existing, {_E} AS e, {_N} AS n FROM v_points), m AS (SELECT field_id, name, elevation_m, {_E} AS me, {_N} AS mn FROM v_benchmarks),
-d AS (SELECT p.*, name, round(me - e, 3) AS de, round(mn - n, 3) AS dn, round(elevation_m - existing, 9) AS dh, row_number() OVER (PARTITION BY p.field_id, seq ORDER BY pow(me - e, 2) + pow(mn - n, 2), name) AS k FROM p JOIN m USING (field_id))
+d AS (SELECT p.*, name, round(me - e, 3) AS de, round(mn - n, 3) AS dn, round(elevation_m - existing, 9) AS dh, row_number() OVER (PARTITION BY p.field_id, seq, existing ORDER BY pow(me - e, 2) + pow(mn - n, 2), name) AS k FROM p JOIN m USING (field_id))
 SELECT field_id, seq, name AS benchmark, de, dn, dh FROM d WHERE k = 1"""
 
 
