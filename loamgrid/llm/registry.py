@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, packing, quality, simhash, substrings, urls, vectors, warc
+from . import language, lines, mixing, negatives, packing, quality, simhash, substrings, trees, urls, vectors, warc, whitening
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_near_vectors": vectors.op9_near_vectors,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_repeated_words": trees.op13_repeated_words,
 }
-SQL = {"op3_mix_sources": mixing.OP3_SQL}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op11_hard_negatives": negatives.OP11_SQL}
