@@ -100,17 +100,22 @@ def capacity_alarms(loads: DataFrame, capacity: float) -> DataFrame:
     return loads.withColumn("before", before).where((c("load") >= capacity) & (c("before") < capacity)).drop("before")
 
 
-def applied_once(batch: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(to apply, quarantined): operations (field_id, op_no) whose number is new, not repeated in the batch and follows on; from a gap or repeat on, a field's rows wait.
+def settled(rows: DataFrame, last: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(to apply, waiting, in conflict): operations (field_id, op_no, op_id) that came in or waited, by what is applied: last (field_id, last_no), and the ledger itself.
 
-    applied: (field_id, last_no). A batch that comes again has nothing new, so it applies once.
+    Of each number one operation counts, the one applied or, if none is, that with the smallest op_id. The same operation
+    again is dropped; another one by its number is a conflict. Numbers that follow on from the last one apply, up to the
+    first gap; those behind it wait until the gap closes, however many batches that takes.
     """
-    got = batch.join(applied, "field_id", "left").withColumn("last_no", F.coalesce("last_no", F.lit(0)))
-    new = got.where(c("op_no") > c("last_no"))
-    w = Window.partitionBy("field_id").orderBy("op_no", "op_id")
-    fits = (c("op_no") - c("last_no") == F.row_number().over(w)).cast("int")
-    new = new.withColumn("fits", F.min(fits).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return new.where("fits = 1").drop("fits", "last_no"), new.where("fits = 0").drop("fits", "last_no")
+    got = rows.join(last, "field_id", "left").withColumn("last_no", F.coalesce("last_no", F.lit(0))).dropDuplicates(["field_id", "op_no", "op_id"])
+    again = got.where(c("op_no") <= c("last_no")).drop("last_no")
+    same = ["field_id", "op_no", "op_id"]
+    against_ledger = again.join(applied.select(*same).distinct(), same, "left_anti")
+    new = got.where(c("op_no") > c("last_no")).withColumn("choice", F.row_number().over(Window.partitionBy("field_id", "op_no").orderBy("op_id")))
+    against_new = new.where("choice > 1").drop("last_no", "choice")
+    place = F.row_number().over(Window.partitionBy("field_id").orderBy("op_no"))
+    chosen = new.where("choice = 1").withColumn("fits", c("op_no") - c("last_no") == place).drop("choice", "last_no")
+    return chosen.where("fits").drop("fits"), chosen.where("NOT fits").drop("fits"), against_ledger.unionByName(against_new)
 
 
 def heartbeats(events: DataFrame, gap_ms: int = HEARTBEAT_MS) -> DataFrame:

@@ -28,6 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def _folder(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads, if it is there."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder."""
+    fs, at = _folder(spark, path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(at, there):
+        raise OSError(f"could not move {path} to {to}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FILL_RATIO
 from ..operators import ledger, tables
+from ..streaming import live
 from .base import query, rounded, view
 from .grid import _CY
 
@@ -182,12 +183,22 @@ def w14(spark, sf) -> DataFrame:
     return gnss.changes(view(spark, sf, "v_fixes"), "rtk").select("machine_id", "event_id", "fast_ms", "old", "new")
 
 
-@query("R11_ledger_commit", _OPS + ", f AS (SELECT *, op_no - (op_id % 4) AS k, row_number() OVER (PARTITION BY field_id ORDER BY op_no, op_id) AS r FROM o), g AS (SELECT *, min(CASE WHEN op_no = r THEN 1 ELSE 0 END) OVER (PARTITION BY field_id ORDER BY op_no, op_id ROWS UNBOUNDED PRECEDING) AS fits FROM f) SELECT field_id, op_id, op_no, fits = 1 AS applied FROM g", "v_ops")
+#: Operations of four fields, numbered from 1, of which every 4000th never comes; some come twice, some numbers come with two operations.
+_CHAIN = """SELECT field_id, op_id, op_no, (op_id * 7919) % 1000 AS arrives FROM (SELECT field_id, op_id, row_number() OVER (PARTITION BY field_id ORDER BY op_id) AS op_no FROM v_ops) WHERE op_no % 4000 <> 3999"""
+_ARRIVALS = f"""SELECT * FROM ({_CHAIN}) UNION ALL SELECT field_id, op_id, op_no, 999 AS arrives FROM ({_CHAIN}) WHERE op_id % 11 = 0 UNION ALL SELECT field_id, op_id + 1000000000 AS op_id, op_no, 1001 AS arrives FROM ({_CHAIN}) WHERE op_id % 13 = 0"""
+
+
+@query(
+    "R11_ledger_commit",
+    f"""WITH a AS ({_ARRIVALS}), k AS (SELECT DISTINCT field_id, op_id, op_no FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY field_id, op_no ORDER BY op_id) AS choice, dense_rank() OVER (PARTITION BY field_id ORDER BY op_no) AS place FROM k)
+SELECT field_id, op_id, op_no, CASE WHEN choice > 1 THEN 'quarantine' WHEN op_no = place THEN 'applied' ELSE 'waiting' END AS status FROM r""",
+    "v_ops",
+)
 def r11(spark, sf) -> DataFrame:
-    ops = _ops(spark, sf)
-    none = ops.limit(0).select("field_id", F.lit(0).cast("long").alias("last_no"))
-    good, bad = ledger.applied_once(ops, none)
-    return good.withColumn("applied", F.lit(True)).unionByName(bad.withColumn("applied", F.lit(False))).select("field_id", "op_id", "op_no", "applied")
+    """A stream of four stretches in an order of its own: gaps close later, up to the number that never comes; then what comes by a known number is in conflict."""
+    rows = spark.sql(_ARRIVALS.replace("FROM v_ops", "FROM {v}"), v=view(spark, sf, "v_ops"))
+    parts = live.committed_in_stretches(rows, "arrives")
+    return parts["applied"].withColumn("status", F.lit("applied")).unionByName(parts["waiting"].withColumn("status", F.lit("waiting"))).unionByName(parts["quarantine"].withColumn("status", F.lit("quarantine"))).select("field_id", "op_id", "op_no", "status")
 
 
 @query(

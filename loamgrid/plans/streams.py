@@ -28,9 +28,13 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY machine_id ORDER BY ts ROWS UNBOUNDE
 SELECT machine_id, count(*) AS n_sessions, max(n) AS longest FROM t GROUP BY machine_id"""
 
 
-@query("R05_link_sessions", None)
+@query(
+    "R05_link_sessions",
+    _SESSIONS.split("t AS (")[0].rstrip().rstrip(",") + " SELECT machine_id, min(ts) AS heard_from, max(ts) + INTERVAL 6 HOUR AS lost_at, count(*) AS n FROM s GROUP BY machine_id, k",
+)
 def r05(spark, sf) -> DataFrame:
-    return live.link_sessions(_signals(spark.read.parquet(f"{sf}/events.parquet")), "6 hours")
+    """Streamed: a session's last form is the one that counts."""
+    return live.drained(live.link_sessions(_signals(live.event_stream(spark, sf)), "6 hours"), "complete")
 
 
 @query("R05_link_sessions_count", _SESSIONS)
@@ -45,17 +49,36 @@ def r12(spark, sf) -> DataFrame:
     return rounded(live.drained(live.live_heights(rows), "update", ["field_id", "bx", "by_"]), 6)
 
 
-@query("R02_throttled_log", "SELECT machine_id, fast_ms, unnest(['TractorLatitude', 'TractorLongitude']) AS type, round(unnest([lat, lon]), 8) AS value FROM v_fixes", "v_fixes")
+#: Fixes of three units of each machine, 400 ms apart: the tractor's always differ, the front pan's for four fixes in a row don't, the rear pan's only in its longitude.
+_UNITS = """SELECT machine_id, unit, fast_ms, CASE unit WHEN 'tractor' THEN lat WHEN 'front' THEN 36.0e0 + floor(fast_ms / 1600.0e0) * 1e-6 ELSE 36.5e0 END AS lat,
+CASE unit WHEN 'tractor' THEN lon WHEN 'front' THEN -93.0e0 ELSE -93.5e0 + floor(fast_ms / 6000.0e0) * 1e-6 END AS lon, speed_kph, heading_deg
+FROM (SELECT machine_id, CAST(fast_ms * 2 / 5 AS BIGINT) AS fast_ms, lat, lon, speed_kph, heading_deg FROM v_fixes) CROSS JOIN (VALUES ('tractor'), ('front'), ('rear')) AS u(unit)"""
+#: A chain: the first fix, then each time the first one at least a second later that differs from the last one logged.
+_LOGGED = f"""WITH u AS ({_UNITS}), f AS (SELECT machine_id, unit, fast_ms, CASE unit WHEN 'tractor' THEN [lat, lon, speed_kph, heading_deg] ELSE [lat, lon] END AS a FROM u),
+w AS (SELECT machine_id, unit, min(fast_ms) AS fast_ms, arg_min(a, fast_ms) AS a FROM f GROUP BY machine_id, unit
+  UNION ALL SELECT w.machine_id, w.unit, min(f.fast_ms), arg_min(f.a, f.fast_ms) FROM w JOIN f ON f.machine_id = w.machine_id AND f.unit = w.unit AND f.fast_ms >= w.fast_ms + 1000 AND f.a <> w.a GROUP BY w.machine_id, w.unit)
+SELECT machine_id, unit, fast_ms, unnest(CASE unit WHEN 'tractor' THEN ['TractorLatitude', 'TractorLongitude', 'Speedkph', 'Heading'] WHEN 'front' THEN ['FrontScraperLatitude', 'FrontScraperLongitude'] ELSE ['RearScraperLatitude', 'RearScraperLongitude'] END) AS type, round(unnest(a), 8) AS value FROM w"""
+
+
+@query("R02_throttled_log", _LOGGED, "v_fixes")
 def r02(spark, sf) -> DataFrame:
-    fixes = view(spark, sf, "v_fixes").select("machine_id", "fast_ms", "lat", "lon")
-    return rounded(live.drained(live.throttled_log(live.in_order(fixes, "fast_ms")), "append"), 8)
+    fixes = spark.sql(_UNITS.replace("FROM v_fixes", "FROM {v}"), v=view(spark, sf, "v_fixes"))
+    return rounded(live.replayed(fixes, "fast_ms", live.throttled_log), 8)
 
 
-@query("F14_throttle_changes", "WITH t AS (SELECT machine_id, event_id, fast_ms, rtk, lag(rtk) OVER (PARTITION BY machine_id ORDER BY fast_ms) AS old FROM v_fixes) SELECT machine_id, event_id, fast_ms, rtk FROM t WHERE old IS NULL OR old <> rtk", "v_fixes")
+@query(
+    "F14_throttle_changes",
+    """WITH f AS (SELECT machine_id, event_id, CAST(fast_ms * 2 / 5 AS BIGINT) AS fast_ms, rtk FROM v_fixes),
+w AS (SELECT machine_id, min(fast_ms) AS fast_ms, arg_min(rtk, fast_ms) AS rtk FROM f GROUP BY machine_id
+  UNION ALL SELECT w.machine_id, min(f.fast_ms), arg_min(f.rtk, f.fast_ms) FROM w JOIN f ON f.machine_id = w.machine_id AND f.fast_ms >= w.fast_ms + 1000 AND f.rtk <> w.rtk GROUP BY w.machine_id)
+SELECT f.machine_id, f.event_id, f.fast_ms, f.rtk FROM w JOIN f USING (machine_id, fast_ms)""",
+    "v_fixes",
+)
 def f14(spark, sf) -> DataFrame:
     from ..operators import clean
 
-    return clean.throttled(view(spark, sf, "v_fixes").select("machine_id", "event_id", "fast_ms", "rtk"), value="rtk")
+    fixes = view(spark, sf, "v_fixes").select("machine_id", "event_id", (c("fast_ms") * 2 / 5).cast("long").alias("fast_ms"), "rtk")
+    return clean.throttled(fixes, value="rtk")
 
 
 #: Three fixed places a machine, so that there are stable spells; rtk without the rare None.
@@ -81,7 +104,7 @@ q AS (SELECT *, CASE WHEN rtk = 'None' THEN 'NoFix' WHEN rtk <> 'Fix' THEN 'NoRt
 
 @query("R03_quality_live", _QUALITY + "SELECT machine_id, event_id, fast_ms, state FROM q", "v_fixes")
 def r03(spark, sf) -> DataFrame:
-    return live.drained(live.quality_states(live.in_order(_steady(spark, sf), "fast_ms")), "append")
+    return live.replayed(_steady(spark, sf), "fast_ms", live.quality_states)
 
 
 @query("R03_quality_windows", _QUALITY + "SELECT machine_id, event_id, fast_ms, state FROM q", "v_fixes")
@@ -94,6 +117,19 @@ def r04(spark, sf) -> DataFrame:
     return gnss.changes(gnss.quality(_steady(spark, sf)), "state").select("machine_id", "fast_ms", "new", "old")
 
 
+#: Links that are lost for 8 s after 30 fixes each, and an antenna that changes after 45; each begins an epoch.
+_BREAKS = f"""SELECT machine_id, event_id, fast_ms + 8000 * (fast_ms // 30000) AS fast_ms, lat, lon, speed_kph, rtk, CAST(fast_ms // 45000 AS VARCHAR) AS antenna FROM ({_STEADY})"""
+_EPOCHS = f"""WITH b AS ({_BREAKS}), n AS (SELECT *, CASE WHEN fast_ms - lag(fast_ms) OVER w > 3000 OR antenna <> lag(antenna) OVER w THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY machine_id ORDER BY fast_ms)),
+z AS (SELECT machine_id * 1000 + CAST(sum(new) OVER (PARTITION BY machine_id ORDER BY fast_ms) AS BIGINT) AS machine_id, event_id, fast_ms, lat, lon, speed_kph, rtk FROM n),
+"""
+
+
+@query("R04_reset_by_link_and_antenna", _QUALITY.replace(f"WITH f AS ({_STEADY}),", _EPOCHS + "f AS (SELECT * FROM z),") + "SELECT machine_id // 1000 AS machine_id, event_id, fast_ms, state FROM q", "v_fixes")
+def r04r(spark, sf) -> DataFrame:
+    rows = spark.sql(_BREAKS.replace("FROM v_fixes", "FROM {v}").replace("//", "DIV").replace("VARCHAR", "STRING"), v=view(spark, sf, "v_fixes"))
+    return live.replayed(rows, "fast_ms", lambda fixes: live.quality_states(fixes, lost_ms=3000))
+
+
 @query("F09_quality_gate", _QUALITY + "SELECT machine_id, event_id FROM q WHERE state IN ('Stable', 'HighQuality')", "v_fixes")
 def f09(spark, sf) -> DataFrame:
     return gnss.quality(_steady(spark, sf)).where(c("state").isin("Stable", "HighQuality")).select("machine_id", "event_id")
@@ -169,30 +205,35 @@ def w02r(spark, sf) -> DataFrame:
     return gnss.runs(rows, "mode").select("machine_id", "event_id", "run_id")
 
 
+#: Blade passes: circles of 5 m, some by the left, five degrees a tick; two in three cut, some with the blade on the wrong side of the ground.
+_TICKS = """SELECT CAST(machine_id % 3 AS INT) AS field_id, machine_id, CASE WHEN machine_id % 2 = 0 THEN 'front' ELSE 'rear' END AS pan, fast_ms AS ms, lane, turn,
+lane * 9.0e0 + 8.0e0 + 5.0e0 * cos(radians(5.0e0 * turn * k)) AS x, 8.0e0 + 5.0e0 * sin(radians(5.0e0 * turn * k)) AS y, CASE WHEN turn > 0 THEN 360.0e0 - 5.0e0 * (k % 72) ELSE 180.0e0 + 5.0e0 * (k % 72) END AS heading_deg,
+CASE WHEN lane % 3 = 2 THEN 'FILL' ELSE 'CUT' END AS mode, CASE WHEN k % 17 = 4 THEN 0.02e0 WHEN lane % 3 = 2 THEN 0.05e0 ELSE -0.03e0 END AS blade_m
+FROM (SELECT machine_id, fast_ms, fast_ms / 1000 AS k, CAST(floor(fast_ms / 30000.0e0) AS INT) AS lane, CASE WHEN floor(fast_ms / 30000.0e0) % 2 = 0 THEN 1.0e0 ELSE -1.0e0 END AS turn FROM v_fixes)"""
+
+
 def ticks(spark, sf) -> DataFrame:
-    """Blade passes: each machine drives north in steps of 0.5 m, two in three passes cutting."""
-    k = c("fast_ms") / 1000
-    lane = F.floor(k / 20)
-    mode = F.when(lane % 3 == 2, "FILL").otherwise("CUT")
-    return view(spark, sf, "v_fixes").select("machine_id", (c("fast_ms") / 1000).cast("long").alias("seq"), (lane * 4.0 + 2.0).alias("x"), ((k % 20) * 0.5 + 1.0).alias("y"), F.lit(0.0).alias("heading_deg"), mode.alias("mode"), F.lit(0.03).alias("depth_m"))
+    return spark.sql(_TICKS.replace("FROM v_fixes", "FROM {v}"), v=view(spark, sf, "v_fixes")).drop("lane", "turn")
 
 
 @query(
     "W03_swept_polygons",
-    """WITH t AS (SELECT machine_id, fast_ms // 1000 AS seq, CASE WHEN (fast_ms // 1000 // 20) % 3 = 2 THEN 'FILL' ELSE 'CUT' END AS mode, (fast_ms // 1000 // 20) * 4.0e0 + 2.0e0 AS x, (fast_ms // 1000 % 20) * 0.5e0 + 1.0e0 AS y FROM v_fixes),
-p AS (SELECT *, lag(mode) OVER w AS m0, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM t WINDOW w AS (PARTITION BY machine_id ORDER BY seq))
-SELECT machine_id, seq, round(abs(y - y0) * 3.0e0, 6) AS swept_m2 FROM p WHERE m0 = mode""",
+    f"""WITH t AS ({_TICKS}), e AS (SELECT *, x - cos(radians(heading_deg)) * 1.5e0 AS lx, y + sin(radians(heading_deg)) * 1.5e0 AS ly, x + cos(radians(heading_deg)) * 1.5e0 AS rx, y - sin(radians(heading_deg)) * 1.5e0 AS ry FROM t),
+p AS (SELECT *, lag(mode) OVER w AS m0, lag(lx) OVER w AS ax, lag(ly) OVER w AS ay, lag(rx) OVER w AS bx, lag(ry) OVER w AS by_ FROM e WINDOW w AS (PARTITION BY machine_id ORDER BY ms))
+SELECT machine_id, ms, round(abs(ax * by_ - bx * ay + bx * ry - rx * by_ + rx * ly - lx * ry + lx * ay - ax * ly) / 2, 6) AS swept_m2 FROM p WHERE m0 = mode""",
     "v_fixes",
 )
 def w03(spark, sf) -> DataFrame:
-    """All drive north, so a sweep is as long as the way north, whatever lane it steps to."""
-    got = gnss.swept_polygons(ticks(spark, sf), 3.0).where("ring IS NOT NULL")
-    return rounded(got.select("machine_id", "seq", "swept_m2"), 6)
+    """Circles both ways; lane changes sweep across."""
+    got = gnss.swept_polygons(ticks(spark, sf), 3.0, "ms").where("ring IS NOT NULL")
+    return rounded(got.select("machine_id", "ms", "swept_m2"), 6)
 
 
 @query("R06_blade_sweep", None)
 def r06(spark, sf) -> DataFrame:
-    return rounded(live.swept_ledger(ticks(spark, sf), 3.0), 6)
+    """As a stream; every ninth bin of a field's corner has no data."""
+    voids = spark.range(900).selectExpr("explode(array(0, 1, 2)) AS field_id", "CAST(id % 30 AS INT) AS bx", "CAST(id div 30 AS INT) AS by_").where("(bx * 7 + by_ * 3) % 9 = 0")
+    return rounded(live.replayed(live.with_voids(ticks(spark, sf), voids), "ms", lambda rows: live.swept_ledger(rows, 3.0)), 6)
 
 
 def _capture(spark, sf) -> DataFrame:
@@ -208,5 +249,5 @@ def _capture(spark, sf) -> DataFrame:
 
 @query("R08_survey_capture", None)
 def r08(spark, sf) -> DataFrame:
-    log = live.drained(live.survey_capture(live.in_order(_capture(spark, sf), "seq"), SURVEY_SPACING_M), "append")
+    log = live.replayed(_capture(spark, sf), "seq", lambda rows: live.survey_capture(rows, SURVEY_SPACING_M))
     return rounded(live.standing_points(log), 6)

@@ -7,7 +7,6 @@ import pytest
 
 from loamgrid.constants import AROUND
 from loamgrid.operators import clean, drainage, haul, surface
-from loamgrid.streaming import live
 
 W, H = 12, 9
 
@@ -95,21 +94,3 @@ def test_near_dots_and_spikes(spark):
     pts[4] = (1, "interior", 4, 8.0, 0.0, 28.9)
     kept = clean.without_spikes(spark.createDataFrame(pts, "survey_id long, kind string, seq long, x double, y double, z double"))
     assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
-
-
-def test_straight_drive_cuts_its_area(spark):
-    """20 m at a width of three bins: each bin in the swath is cut once."""
-    ticks = spark.createDataFrame([(1, i, 0.6096 * 3.5, 0.5 * i, 0.0, "CUT", 0.03) for i in range(41)], "machine_id long, seq long, x double, y double, heading_deg double, mode string, depth_m double")
-    rows = live.swept_ledger(ticks, 0.6096 * 3).toPandas()
-    assert not rows.duplicated(["bx", "by_"]).any() and set(rows.bx) == {2, 3, 4} and (rows.delta_m == -0.03).all()
-    assert abs(len(rows) - 3 * 20 / 0.6096) <= 3
-
-
-def test_stream_equals_batch(spark, sf, tmp_path):
-    from loamgrid.plans.base import view
-
-    fixes = view(spark, sf, "v_fixes").select("machine_id", "fast_ms", "lat", "lon")
-    fixes.repartition(1).sortWithinPartitions("fast_ms").write.parquet(str(tmp_path / "fixes"))
-    stream = spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "fixes"))
-    a = {tuple(r) for r in live.drained(live.throttled_log(stream), "append").collect()}
-    assert a == {tuple(r) for r in live.throttled_log(fixes).collect()}

@@ -109,7 +109,7 @@ def test_survey_capture_as_a_stream(spark):
                 mine = plain_pruned([*mine, (x[i] + math.sin(turn) * aside, math.cos(turn) * aside, z[i] - 20.0 + MASTER_ELEVATION_M, i)])
             want |= {(k, kind, q[3]): q[:3] for q in mine}
     rows = spark.createDataFrame(fixes, "survey_id long, kind string, side string, seq long, x double, y double, z double, heading_deg double, state string, master_m double")
-    for log in (live.survey_capture(rows), live.drained(live.survey_capture(live.in_order(rows, "seq", 3)), "append")):
+    for log in (live.survey_capture(rows), live.replayed(rows, "seq", live.survey_capture, 3)):
         got = {(r.survey_id, r.kind, r.seq): (r.x, r.y, r.z) for r in live.standing_points(log).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
@@ -203,21 +203,6 @@ def test_plane_with_import_and_without_root(spark):
     assert abs(cut + 5.0 - 1.2 * fill - 2.0) < 1e-6 and got[1] is None
 
 
-def test_ledger_commit_replays_and_quarantines(spark, tmp_path):
-    """Operations in three files; the second comes again; one is out of order."""
-    parts = [[(0, 1), (0, 2), (1, 1)], [(0, 3), (1, 3), (1, 2)], [(0, 3), (0, 4), (1, 4), (0, 9)]]
-    for k, part in enumerate(parts):
-        spark.createDataFrame([(f, n, 100 * f + n) for f, n in part], "field_id int, op_no long, op_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live.commit_ledger(stream, f"file://{tmp_path}/ledger", ledger.applied_once)
-    done = Counter((r.field_id, r.op_no) for r in live.committed(spark, f"file://{tmp_path}/ledger", schema).collect())
-    bad = {(r.field_id, r.op_no) for r in live.committed(spark, f"file://{tmp_path}/ledger", schema, "quarantine").collect()}
-    assert done == Counter([(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2), (1, 3), (1, 4)]) and bad == {(0, 9)}
-    live.commit_ledger(stream, f"file://{tmp_path}/ledger", ledger.applied_once)
-    assert live.committed(spark, f"file://{tmp_path}/ledger", schema).count() == 8
-
-
 def test_reset_begins_anew(spark):
     """A steady receiver is Stable after 15 s, and again only 15 s after a reset."""
     fixes = [(1, k, k * 1000, 36.0, -93.5, 0.1, "Fix", k == 40) for k in range(70)]
