@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BIN_M
 from ..functions import geo
-from . import grid, tables
+from . import grid, nearest, tables
 from .loops import cut
 
 c = F.col
@@ -56,22 +56,12 @@ def spread_headings(bins: DataFrame, known: DataFrame, max_rounds: int = 10_000)
     return have.unionByName(nearest_vectors(pending, have))
 
 
-def nearest_vectors(bins: DataFrame, known: DataFrame, size: int = 16) -> DataFrame:
-    """The vector of the nearest known bin (squared distance, then by_, bx) by rings of blocks of size bins, each round twice as wide."""
-    block = lambda v: F.floor(c(v) / float(size)).cast("int")
-    k = cut(known.select("field_id", c("bx").alias("kx"), c("by_").alias("ky"), "vx", "vy", block("bx").alias("sx"), block("by_").alias("sy")))
-    left = cut(bins.select(*KEY).join(known.select("field_id").distinct(), "field_id", "left_semi"))
-    done, r = None, 1
-    while not left.isEmpty() or done is None:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        asked = left.withColumn("sx", F.explode(F.transform(span, lambda i: block("bx") + i))).withColumn("sy", F.explode(F.transform(span, lambda i: block("by_") + i)))
-        met = asked.join(k, ["field_id", "sx", "sy"]).withColumn("d2", F.pow((c("kx") - c("bx")).cast("double"), 2) + F.pow((c("ky") - c("by_")).cast("double"), 2))
-        best = met.groupBy(*KEY).agg(F.min_by(F.struct("vx", "vy", "d2"), F.struct("d2", "ky", "kx")).alias("b"))
-        sure = cut(best.where((c("b.d2") <= (r * size) ** 2) | F.lit(r >= 1 << 16)).select(*KEY, "b.vx", "b.vy"))
-        done = sure if done is None else done.unionByName(sure)
-        left = cut(left.join(sure, KEY, "left_anti"))
-        r *= 2
-    return done
+def nearest_vectors(bins: DataFrame, known: DataFrame) -> DataFrame:
+    """The vector of the nearest known bin (squared distance, then by_, bx) of each bin; null in fields without any."""
+    place = lambda df: df.withColumn("x", c("bx").cast("double")).withColumn("y", c("by_").cast("double"))
+    order = c("by_").cast("long") * (1 << 32) + c("bx")
+    near = nearest.nearest_points(place(bins.select(*KEY)), place(known.withColumn("seq", order)).select("field_id", "seq", "x", "y", "vx", "vy"), 1)
+    return bins.select(*KEY).join(near.select(*KEY, "vx", "vy"), KEY, "left")
 
 
 def blended(vectors: DataFrame, sampled: DataFrame, passes: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import AROUND, BIN_M, FILL_RATIO, NEIGHBOURS, SMOOTH_SIGMA
-from . import grid
+from . import grid, nearest
 from .loops import by_blocks, cut, fixpoint
 
 c = F.col
@@ -68,44 +68,6 @@ def fill_gaps_8(cells: DataFrame, column: str = "z", least: int = 4, block: int
     return fixpoint(state, step, max_rounds=100_000).select(*KEY, c("v").alias(column))
 
 
-def nearest_points(cells: DataFrame, points: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(field_id, bx, by_, x, y, seq, px, py, any others of points, d2, place): the k nearest points (field_id, seq, x, y) of each cell (x, y), ties by seq; all points where a field has fewer.
-
-    Points are hashed to squares of about k / 2 points by the field's own density. Cells look at their square and the eight
-    about it; those whose k-th point is no farther than these reach are done, and for the others the squares double until
-    they hold all of the field. Each round joins only the cells that are left. Cells and points without finite place are
-    left out.
-    """
-    there = F.abs("x") + F.abs("y") < float("inf")
-    more = [n for n in points.columns if n not in ("field_id", "seq", "x", "y")]
-    points, cells = points.where(there), cells.where(there)
-    w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    total = F.count("*")
-    side = F.greatest(F.sqrt(w * h * (k / 2) / total), F.greatest(w, h) * (k / 4) / total, F.lit(1e-3))
-    fields = cut(points.groupBy("field_id").agg(total.alias("total"), side.alias("side")))
-    left = cut(cells.select(*KEY, "x", "y").join(fields, "field_id"))
-    placed = points.join(fields.select("field_id", "side"), "field_id")
-    done, times = None, 1
-    around = F.sequence(F.lit(-1), F.lit(1))
-    while True:
-        square = lambda v, times=times: F.floor(c(v) / (c("side") * times)).cast("long")
-        hashed = placed.select("field_id", "seq", c("x").alias("px"), c("y").alias("py"), *more, square("x").alias("sx"), square("y").alias("sy"))
-        asked = left.withColumn("sx", F.explode(F.transform(around, lambda i: square("x") + i))).withColumn("sy", F.explode(F.transform(around, lambda i: square("y") + i)))
-        met = asked.join(hashed, ["field_id", "sx", "sy"]).withColumn("d2", F.pow(c("px") - c("x"), 2) + F.pow(c("py") - c("y"), 2))
-        cell = Window.partitionBy(*KEY)
-        got = met.withColumn("place", F.row_number().over(cell.orderBy("d2", "seq"))).withColumn("met", F.count("*").over(cell)).where(c("place") <= k)
-        got = got.withColumn("found", F.count("*").over(cell)).withColumn("far", F.max("d2").over(cell))
-        # A cell is at least one square away from what its nine squares do not hold.
-        sure = ((c("found") >= k) & (c("far") < F.pow(c("side") * times, 2))) | (c("met") >= c("total"))
-        got = cut(got.withColumn("sure", sure))
-        take = got.where("sure").select(*KEY, "x", "y", "seq", "px", "py", *more, "d2", "place")
-        done = take if done is None else done.unionByName(take)
-        left = cut(left.join(got.where("sure").select(*KEY).distinct(), KEY, "left_anti"))
-        if left.isEmpty():
-            return done
-        times *= 2
-
-
 def local_planes(neighbours: DataFrame) -> DataFrame:
     """(field_id, bx, by_, z): moving least squares from rows (dx, dy, d2, z) about each cell: weights 1 / (d2 + 0.5625 far2 + 1e-12), a small ridge, the plane's height at the cell; the weighted mean where the plane fails."""
     far = F.max("d2").over(Window.partitionBy(*KEY))
@@ -127,7 +89,7 @@ def local_planes(neighbours: DataFrame) -> DataFrame:
 
 def design_surface(cells: DataFrame, points: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The local-plane surface over cells (x, y) from survey points (field_id, seq, x, y, z)."""
-    near = nearest_points(cells, points.select("field_id", "seq", "x", "y", "z"), k)
+    near = nearest.nearest_points(cells, points.select("field_id", "seq", "x", "y", "z"), k)
     return local_planes(near.withColumn("dx", c("px") - c("x")).withColumn("dy", c("py") - c("y")))
 
 

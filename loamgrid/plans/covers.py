@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M
-from ..operators import cover, gnss, grid, surface
+from ..operators import cover, gnss, grid, nearest, surface
 from .base import bins, query, rounded, utm_sql, view
 
 c = F.col
@@ -95,13 +95,13 @@ def t09(spark, sf) -> DataFrame:
 
 
 def knn_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The asked cells are those whose number is divisible by 20, against all points."""
-    cells = view(spark, sf, "v_grid").where("(by_ * 50 + bx) % 20 = 0").select("field_id", "bx", "by_", (c("bx") * 2.0).alias("x"), (c("by_") * 1.5).alias("y"))
+    """All cells, nine tenths of them far off the points at larger scales, against all points."""
+    cells = view(spark, sf, "v_grid").select("field_id", "bx", "by_", (c("bx") * 2.0).alias("x"), (c("by_") * 1.5).alias("y"))
     dots = view(spark, sf, "v_haul").select(F.lit(0).alias("field_id"), "seq", ((c("seq") * 37) % 1009 / 10.0).alias("x"), ((c("seq") * 53) % 613 / 10.0).alias("y"), (30 + (c("seq") % 11) * 0.05).alias("z"))
     return cells, dots
 
 
-_KNN = """WITH g AS (SELECT bx, by_, bx * 2.0e0 AS x, by_ * 1.5e0 AS y FROM v_grid WHERE (by_ * 50 + bx) % 20 = 0), p AS (SELECT seq, ((seq * 37) % 1009) / 10.0e0 AS px, ((seq * 53) % 613) / 10.0e0 AS py, 30 + (seq % 11) * 0.05e0 AS z FROM v_haul),
+_KNN = """WITH g AS (SELECT bx, by_, bx * 2.0e0 AS x, by_ * 1.5e0 AS y FROM v_grid), p AS (SELECT seq, ((seq * 37) % 1009) / 10.0e0 AS px, ((seq * 53) % 613) / 10.0e0 AS py, 30 + (seq % 11) * 0.05e0 AS z FROM v_haul),
 d AS (SELECT bx, by_, x, y, seq, px, py, z, pow(px - x, 2) + pow(py - y, 2) AS d2, row_number() OVER (PARTITION BY bx, by_ ORDER BY pow(px - x, 2) + pow(py - y, 2), seq) AS place FROM g, p)
 """
 
@@ -109,13 +109,13 @@ d AS (SELECT bx, by_, x, y, seq, px, py, z, pow(px - x, 2) + pow(py - y, 2) AS d
 @query("J04_nearest_64", _KNN + "SELECT bx, by_, seq, place FROM d WHERE place <= 64", "v_grid v_haul")
 def j04(spark, sf) -> DataFrame:
     cells, dots = knn_inputs(spark, sf)
-    return surface.nearest_points(cells, dots).select("bx", "by_", "seq", c("place").cast("long").alias("place"))
+    return nearest.nearest_points(cells, dots).select("bx", "by_", "seq", c("place").cast("long").alias("place"))
 
 
 @query("T08_smallest_distances", _KNN + "SELECT bx, by_, round(max(d2), 6) AS far2 FROM d WHERE place <= 64 GROUP BY bx, by_", "v_grid v_haul")
 def t08(spark, sf) -> DataFrame:
     cells, dots = knn_inputs(spark, sf)
-    return rounded(surface.nearest_points(cells, dots).groupBy("bx", "by_").agg(F.max("d2").alias("far2")), 6)
+    return rounded(nearest.nearest_points(cells, dots).groupBy("bx", "by_").agg(F.max("d2").alias("far2")), 6)
 
 
 @query(
