@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,44 +26,177 @@ def with_edge(dem: DataFrame) -> DataFrame:
     return dem.join(size, "field_id").withColumn("edge", on).drop("x0", "x1", "y0", "y1")
 
 
+#: The place outside of a field, to which its rectangle's cells drain; other places are cells.
+OUTSIDE = -(1 << 62)
+#: Blocks on a side of the next larger block.
+GROWTH = 8
+_EDGES = "field_id int, a long, b long, height double"
+
+
+def _place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64) * (1 << 32) + y.astype(np.int64)
+
+
+def _lowest_passes(a: list[int], b: list[int], height: list[float], kept: set[int]) -> list[tuple[int, int, float]]:
+    """Edges between kept places with the same lowest passes as a graph of edges (a, b, height) has between them, one less than there are places at most: those by which Kruskal's tree joins two parts that both hold a kept place."""
+    parent: dict[int, int] = {}
+    stands: dict[int, int] = {}
+
+    def root(u: int) -> int:
+        top = u
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[u] != top:
+            parent[u], u = top, parent[u]
+        return top
+
+    out = []
+    for k in sorted(range(len(a)), key=height.__getitem__):
+        u, v = root(a[k]), root(b[k])
+        if u == v:
+            continue
+        p, q = stands.get(u, u if u in kept else None), stands.get(v, v if v in kept else None)
+        if p is not None and q is not None:
+            out.append((p, q, height[k]))
+        parent[v] = u
+        if (one := p if p is not None else q) is not None:
+            stands[u] = one
+    return out
+
+
+def _borders(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One block: its lowest passes between the cells on its border and the outside, and the passes to the cells around it."""
+
+    def borders(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, z, own, edge = (rows[k].to_numpy() for k in ("bx", "by_", "z", "own", "edge"))
+        place = _place(x, y)
+        at = dict(zip(place.tolist(), range(len(place)), strict=True))
+        inner: tuple[list, list, list] = ([], [], [])
+        across = []
+        border = own & ((x % size == 0) | (x % size == size - 1) | (y % size == 0) | (y % size == size - 1))
+        for dx, dy in AROUND:
+            there = _place(x + dx, y + dy).tolist()
+            for i in np.flatnonzero(own).tolist():
+                j = at.get(there[i])
+                if j is None:
+                    continue
+                if not own[j]:
+                    across.append((int(place[i]), there[i], max(z[i], z[j])))
+                elif j > i:
+                    for part, value in zip(inner, (int(place[i]), there[i], max(z[i], z[j])), strict=True):
+                        part.append(value)
+        for i in np.flatnonzero(own & edge).tolist():
+            for part, value in zip(inner, (int(place[i]), OUTSIDE, z[i]), strict=True):
+                part.append(value)
+        found = _lowest_passes(*inner, {*place[border].tolist(), OUTSIDE}) + across
+        return pd.DataFrame({"field_id": rows["field_id"].iloc[0] if len(rows) else pd.Series([], dtype=int), **{k: [f[i] for f in found] for i, k in enumerate(("a", "b", "height"))}})
+
+    return borders
+
+
+def _contracted(rows: pd.DataFrame) -> pd.DataFrame:
+    """One larger block: its lowest passes between the places that have a pass to another one (kept), and the outside."""
+    inner, kept = rows[~rows["kept"]], set(rows.loc[rows["kept"], "a"].tolist())
+    found = _lowest_passes(inner["a"].tolist(), inner["b"].tolist(), inner["height"].tolist(), kept | {OUTSIDE})
+    return pd.DataFrame({"field_id": rows["field_id"].iloc[0], **{k: [f[i] for f in found] for i, k in enumerate(("a", "b", "height"))}})
+
+
+def _levelled(rows: pd.DataFrame) -> pd.DataFrame:
+    """One larger block: the level of each place, from the outside and the places whose level is known (kept), over its lowest passes."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    inner, known = rows[~rows["kept"]], rows[rows["kept"]]
+    for a, b, h in zip(inner["a"].tolist(), inner["b"].tolist(), inner["height"].tolist(), strict=True):
+        near.setdefault(a, []).append((b, h))
+        near.setdefault(b, []).append((a, h))
+    level = {OUTSIDE: -math.inf, **dict(zip(known["a"].tolist(), known["height"].tolist(), strict=True))}
+    heap = [(h, u) for u, h in level.items()]
+    heapq.heapify(heap)
+    while heap:
+        h, u = heapq.heappop(heap)
+        if h > level[u]:
+            continue
+        for v, over in near.get(u, ()):
+            if (new := max(h, over)) < level.get(v, math.inf):
+                level[v] = new
+                heapq.heappush(heap, (new, v))
+    del level[OUTSIDE]
+    return pd.DataFrame({"field_id": rows["field_id"].iloc[0], "a": list(level), "height": list(level.values())})
+
+
 def _flood(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: heights to which water fills it, given those of the cells around it (halo), by a priority flood."""
-    x, y, z, filled = (rows[k].to_numpy() for k in ("bx", "by_", "z", "filled"))
-    own, edge = rows["own"].to_numpy(), rows["edge"].to_numpy()
-    at = {(a, b): i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
-    best = np.where(own, np.where(edge, z, np.inf), filled)
-    heap = [(best[i], i) for i in range(len(z)) if best[i] < np.inf]
+    """One block: heights to which water fills it, given the levels of its border's cells, by a priority flood."""
+    x, y, z, level, edge = (rows[k].to_numpy() for k in ("bx", "by_", "z", "level", "edge"))
+    place = _place(x, y)
+    at = dict(zip(place.tolist(), range(len(place)), strict=True))
+    best = np.where(edge, z, np.inf)
+    best = np.fmin(best, np.maximum(level, z))
+    heap = [(best[i], i) for i in np.flatnonzero(best < np.inf).tolist()]
     heapq.heapify(heap)
+    around = [_place(x + dx, y + dy).tolist() for dx, dy in AROUND]
     while heap:
         h, i = heapq.heappop(heap)
         if h > best[i]:
             continue
-        for dx, dy in AROUND:
-            j = at.get((x[i] + dx, y[i] + dy))
-            if j is not None and own[j] and (new := max(h, z[j])) < best[j]:
+        for there in around:
+            j = at.get(there[i])
+            if j is not None and (new := max(h, z[j])) < best[j]:
                 best[j] = new
                 heapq.heappush(heap, (new, j))
-    out = rows.loc[own, ["field_id", "bx", "by_", "z", "edge"]].copy()
-    out["filled"] = best[own]
-    out["changed"] = best[own] < filled[own]
+    out = rows[["field_id", "bx", "by_", "z"]].copy()
+    out["filled"] = np.where(best < np.inf, best, z)
     return out
 
 
-def filled(dem: DataFrame, block: int = 128, max_rounds: int = 100_000) -> DataFrame:
-    """dem (field_id, bx, by_, z; valid cells only) with filled: the height to which water stands before it runs off over the rectangle's edge; cells that no path joins to the edge keep their own.
+def spill_levels(dem: DataFrame, block: int = 128) -> DataFrame:
+    """(field_id, a, height): the level to which water stands at the cells on the borders of blocks, by a graph of lowest passes (Barnes 2016).
 
-    Blocks flood on their own and tell their neighbours; rounds go on until no block changes, so their number is that of
-    the blocks which a drainage path crosses, and a task never holds more than a block.
+    Each block keeps its lowest passes between border cells; blocks of GROWTH x GROWTH blocks do the same with those, until
+    one holds the field. From there levels go down again. The passes over the data are two for each growth, whatever way
+    the water takes; a task holds the borders of GROWTH x GROWTH blocks.
     """
-    state = cut(with_edge(dem.select(*KEY, "z").where("z IS NOT NULL")).withColumn("filled", F.lit(float("inf"))))
-    for _ in range(max_rounds):
-        after = cut(by_blocks(state, _flood, "field_id int, bx int, by_ int, z double, edge boolean, filled double, changed boolean", block))
-        state = after.drop("changed")
-        if after.where("changed").isEmpty():
+    edges = cut(by_blocks(with_edge(dem), _borders(block), _EDGES, block))
+    reach = dem.agg(F.max(F.abs("bx")).alias("x"), F.max(F.abs("by_")).alias("y")).first()
+    extent = 2 * (max(reach["x"] or 0, reach["y"] or 0) + 1)
+    size, inner = block, []
+    while True:
+        size *= GROWTH
+        of = lambda p, size=size: F.when(c(p) == OUTSIDE, F.lit(None)).otherwise(F.struct(F.floor(F.shiftright(p, 32) / size).alias("x"), F.floor(F.pmod(c(p), F.lit(1 << 32)) / size).alias("y")))
+        placed = edges.withColumn("at_a", of("a")).withColumn("at_b", of("b"))
+        block_of = F.coalesce("at_a", "at_b")
+        within = c("at_a").isNull() | c("at_b").isNull() | (c("at_a") == c("at_b"))
+        last = size >= extent
+        within = F.lit(True) if last else within
+        block_of = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")) if last else block_of
+        mine = cut(placed.where(within).select("field_id", block_of.alias("part"), "a", "b", "height", F.lit(False).alias("kept")))
+        if last:
+            inner.append((mine, None))
             break
-    else:
-        raise RuntimeError("the surface did not settle")
-    return state.select(*KEY, "z", F.when(c("filled") == float("inf"), c("z")).otherwise(c("filled")).alias("filled"))
+        cross = placed.where(~within)
+        ends = cut(cross.select("field_id", c("at_a").alias("part"), "a").unionByName(cross.select("field_id", c("at_b").alias("part"), c("b").alias("a"))).distinct())
+        inner.append((mine, ends))
+        marks = ends.select("field_id", "part", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("height"), F.lit(True).alias("kept"))
+        edges = cut(mine.unionByName(marks).groupBy("field_id", "part").applyInPandas(_contracted, _EDGES).unionByName(cross.select("field_id", "a", "b", "height")))
+    levels = None
+    for mine, ends in reversed(inner):
+        rows = mine
+        if ends is not None:
+            known = ends.join(levels, ["field_id", "a"]).select("field_id", "part", "a", F.lit(None).cast("long").alias("b"), "height", F.lit(True).alias("kept"))
+            rows = mine.unionByName(known)
+        levels = cut(rows.groupBy("field_id", "part").applyInPandas(_levelled, "field_id int, a long, height double").groupBy("field_id", "a").agg(F.min("height").alias("height")))
+    return levels
+
+
+def filled(dem: DataFrame, block: int = 128) -> DataFrame:
+    """dem (field_id, bx, by_, z; valid cells only) with filled: the height to which water stands before it runs off over the rectangle's edge; cells that no path joins to the edge keep their own.
+
+    The levels of the blocks' border cells come from spill_levels; each block then floods once from its border.
+    """
+    dem = cut(dem.select(*KEY, "z").where("z IS NOT NULL"))
+    levels = spill_levels(dem, block)
+    place = c("bx").cast("long") * (1 << 32) + c("by_").cast("long")
+    rows = with_edge(dem).withColumn("a", place).join(levels, ["field_id", "a"], "left").withColumnRenamed("height", "level").drop("a")
+    rows = rows.withColumn("block_x", F.floor(c("bx") / float(block))).withColumn("block_y", F.floor(c("by_") / float(block)))
+    return rows.groupBy("field_id", "block_x", "block_y").applyInPandas(_flood, "field_id int, bx int, by_ int, z double, filled double")
 
 
 def sink_depths(dem: DataFrame, block: int = 128) -> DataFrame:

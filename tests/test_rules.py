@@ -147,6 +147,102 @@ def test_depressions_of_two_fields_over_block_edges(spark, fields):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_serpentine_valley_in_fixed_passes(spark, monkeypatch):
+    """A valley that winds through ten by ten blocks and across two growths of them drains in as many passes as a flat field."""
+    n, size = 50, 5
+    z = np.full((n, n), 9.0)
+    for k in range(1, n - 1, 4):
+        z[k, 1 : n - 1] = 1.0
+        if k + 4 < n - 1:
+            z[k : k + 4, n - 2 if (k // 4) % 2 == 0 else 1] = 1.0
+    z[1, 25], z[45, 10] = 0.0, 0.25
+    z[1, 0] = 2.0
+    passes = []
+    cut = drainage.cut
+    monkeypatch.setattr(drainage, "cut", lambda df: passes.append(1) or cut(df))
+    monkeypatch.setattr(drainage, "GROWTH", 3)
+    counts = []
+    for surface_ in (z, np.full((n, n), 3.0)):
+        passes.clear()
+        rows = [(3, x, y, float(surface_[y, x])) for y in range(n) for x in range(n)]
+        got = drainage.filled(spark.createDataFrame(rows, "field_id int, bx int, by_ int, z double"), size).collect()
+        counts.append(len(passes))
+        if surface_ is z:
+            assert all(r.filled == (9.0 if r.z == 9.0 else 2.0) for r in got) and len(got) == n * n
+    assert counts[0] == counts[1] < 20
+
+
+def test_ponding_model_of_two_fields(spark, fields):
+    """Regions, capacities, inflows, spills, downstream sinks, cascade and ponds against the same steps cell by cell."""
+    cell, rain = 0.25, 0.05
+    ponds, sinks = drainage.ponding(frame(spark, fields), rain, 0.5, 5)
+    got_sinks = {(r.field_id, r.sink): r for r in sinks.collect()}
+    got_ponds = {(r.field_id, r.bx, r.by_): r.pond for r in ponds.collect()}
+    want_ponds = {}
+    for f, z in fields.items():
+        h, w = z.shape
+        level = np.where(np.pad(np.zeros((h - 2, w - 2), bool), 1, constant_values=True), z, np.inf)
+        while True:
+            new = np.array([[max(z[y, x], min([level[y, x], *(level[b, a] for a, b in around(z, x, y))])) for x in range(w)] for y in range(h)])
+            new = np.minimum(new, level)
+            if (new == level).all():
+                break
+            level = new
+        sink_of, n = {}, 0
+        for y in range(h):
+            for x in range(w):
+                if level[y, x] > z[y, x] and (x, y) not in sink_of:
+                    n += 1
+                    sink_of[x, y], todo = n, [(x, y)]
+                    while todo:
+                        for p in around(z, *todo.pop()):
+                            if level[p[1], p[0]] > z[p[1], p[0]] and p not in sink_of:
+                                sink_of[p] = n
+                                todo.append(p)
+        rows = {k: {"capacity": 0.0, "inflow": 0.0, "spill": (math.inf,), "down": None} for k in range(1, n + 1)}
+        for y in range(h):
+            for x in range(w):
+                p = (x, y)
+                while True:
+                    falls = [((z[p[1], p[0]] - z[b, a]) / math.hypot(a - p[0], b - p[1]), -AROUND.index((a - p[0], b - p[1])), (a, b)) for a, b in around(z, *p)]
+                    best = max(falls)
+                    if best[0] <= 0:
+                        break
+                    p = best[2]
+                if p in sink_of:
+                    rows[sink_of[p]]["inflow"] += cell * rain
+        for (x, y), k in sink_of.items():
+            rows[k]["capacity"] += (level[y, x] - z[y, x]) * cell
+            for i, (dx, dy) in enumerate(AROUND):
+                a, b = x + dx, y + dy
+                inside = 0 <= a < w and 0 <= b < h
+                if inside and sink_of.get((a, b)) == k:
+                    continue
+                key = (max(z[y, x], z[b, a]) if inside else z[y, x], y, x, i)
+                if key < rows[k]["spill"]:
+                    rows[k]["spill"], rows[k]["down"] = key, sink_of.get((a, b))
+        done = set()
+        for k in sorted(rows, key=lambda k: (rows[k]["spill"][0], k)):
+            r = rows[k]
+            r["stored"] = min(r["inflow"], r["capacity"])
+            over = r["inflow"] - r["stored"]
+            done.add(k)
+            if r["down"] is not None and r["down"] not in done:
+                rows[r["down"]]["inflow"] += over
+        first = {k: 0.0 for k in rows}
+        for k, r in rows.items():
+            g = got_sinks[f, k]
+            assert abs(g.capacity - r["capacity"]) < 1e-9 and abs(g.spill - r["spill"][0]) < 1e-12 and g.downstream == r["down"] and abs(g.stored - r["stored"]) < 1e-9
+            cells = [p for p in sink_of if sink_of[p] == k]
+            low, high = 0.0, max(level[y, x] - z[y, x] for x, y in cells)
+            for _ in range(80):
+                first[k] = (low + high) / 2
+                low, high = (first[k], high) if sum(max(level[y, x] - z[y, x] - first[k], 0) for x, y in cells) * cell > r["stored"] else (low, first[k])
+            want_ponds |= {(f, x, y): max(level[y, x] - z[y, x] - first[k], 0) for x, y in cells}
+        assert n > 3 and sum(1 for key in got_sinks if key[0] == f) == n
+    assert got_ponds.keys() == want_ponds.keys() and all(abs(got_ponds[k] - want_ponds[k]) < 1e-9 for k in want_ponds)
+
+
 def test_spread_headings_in_rounds(spark, fields):
     rows, known, want = [], [], {}
     for f, z in fields.items():
