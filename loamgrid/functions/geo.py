@@ -13,15 +13,20 @@ E2 = WGS84_F * (2 - WGS84_F)
 EP2 = E2 / (1 - E2)
 
 
+def wrapped(deg: Column) -> Column:
+    """A longitude or difference of longitudes within -180 to 180 degrees; one that lies there keeps its bits."""
+    return F.when(F.abs(deg) > 180.0, deg - 360.0 * F.round(deg / 360.0)).otherwise(deg)
+
+
 def utm_zone(lon: Column) -> Column:
-    """Zone by longitude alone, 1 to 60; a longitude of 180 is in zone 60."""
-    return F.least(F.floor((lon + 180.0) / 6.0) + 1, F.lit(60)).cast("int")
+    """Zone by longitude alone, 1 to 60; longitudes are wrapped, so 180 is in zone 1 as -180 is."""
+    return (F.pmod(F.floor((lon + 180.0) / 6.0), F.lit(60)) + 1).cast("int")
 
 
 def utm_angles(lat: Column, lon: Column, zone: Column) -> dict[str, Column]:
     """What the series of to_utm is made of: latitude in radians, its sine, cosine and tangent, sines of its multiples, and the angle from the zone's meridian. Each is worth keeping as a column."""
     p = F.radians(lat)
-    return {"p": p, "s": F.sin(p), "c": F.cos(p), "t": F.tan(p), "s2": F.sin(2 * p), "s4": F.sin(4 * p), "s6": F.sin(6 * p), "l": F.radians(lon - (zone * 6 - 183))}
+    return {"p": p, "s": F.sin(p), "c": F.cos(p), "t": F.tan(p), "s2": F.sin(2 * p), "s4": F.sin(4 * p), "s6": F.sin(6 * p), "l": F.radians(wrapped(lon - (zone * 6 - 183)))}
 
 
 def utm_series(lat: Column, of: dict[str, Column]) -> tuple[Column, Column]:

@@ -142,3 +142,15 @@ def place_in_raster(cells: DataFrame, name: str, line: str = "by_", inner: str =
     before = F.sum("n").over(Window.partitionBy("field_id").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)) - c("n")
     inside = F.row_number().over(Window.partitionBy("field_id", line).orderBy(inner))
     return cells.withColumn("inside", inside).join(rows.withColumn("before", before).drop("n"), ["field_id", line]).withColumn(name, (c("before") + c("inside")).cast("int")).drop("inside", "before")
+
+
+def catalogue(files: DataFrame, name: str) -> DataFrame:
+    """(folder, name, n_dbs): folders of files (folder, ...) that hold exactly one database, by its name."""
+    found = files.groupBy("folder").agg(F.min(name).alias("name"), F.count_distinct(name).alias("n_dbs"))
+    return found.where("n_dbs = 1")
+
+
+def databases(files: DataFrame) -> DataFrame:
+    """Files (folder, file) that are databases of fields, with field and version: ``field-V3.db`` is version 3 of field, ``field.db`` its version 0."""
+    got = files.where(F.lower("file").endswith(".db")).withColumn("stem", F.regexp_replace("file", "(?i)[.]db$", ""))
+    return got.withColumn("field", F.regexp_replace("stem", "-V[0-9]+$", "")).withColumn("version", F.coalesce(F.nullif(F.regexp_extract("stem", "-V([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))).drop("stem")

@@ -98,18 +98,15 @@ def a15(spark, sf) -> DataFrame:
     return tables.numbered(files, "file", "-V")
 
 
-_FILES = "op_id % 4 = floor(op_id / 40.0e0) % 4 OR op_id % 31 = 0"
+#: Each operation's database lies in a folder of its field; those of every 31st lie in another field's.
+_FILES = "SELECT CAST(floor(op_id / 40.0e0) AS BIGINT) * 4 + CASE WHEN op_id % 31 = 0 THEN (field_id + 1) % 4 ELSE field_id END AS folder, field_id FROM v_ops"
 
 
-@query(
-    "A21_catalogue",
-    f"WITH f AS (SELECT DISTINCT CAST(floor(op_id / 40.0e0) AS BIGINT) AS folder, field_id FROM v_ops WHERE {_FILES}) SELECT folder, min(field_id) AS field_id, count(*) AS n_dbs FROM f GROUP BY folder HAVING count(*) = 1",
-    "v_ops",
-)
+@query("A21_catalogue", f"SELECT folder, min(field_id) AS field_id, count(DISTINCT field_id) AS n_dbs FROM ({_FILES}) GROUP BY folder HAVING count(DISTINCT field_id) = 1", "v_ops")
 def a21(spark, sf) -> DataFrame:
-    """Folders that hold the database of one field only; a few hold a second one."""
-    files = view(spark, sf, "v_ops").where(_FILES).select(F.floor(c("op_id") / 40.0).alias("folder"), "field_id").distinct()
-    return files.groupBy("folder").agg(F.min("field_id").alias("field_id"), F.count("*").alias("n_dbs")).where("n_dbs = 1")
+    """Folders that hold the database of one field only; many hold a second one. tables.catalogue does this for a real tree."""
+    files = spark.sql(_FILES.replace("FROM v_ops", "FROM {v}"), v=view(spark, sf, "v_ops"))
+    return tables.catalogue(files, "field_id").select("folder", c("name").alias("field_id"), "n_dbs")
 
 
 @query("F15_event_classes", "SELECT field_id, event_id, CASE WHEN type = 'FrontBladeHeight' THEN 'height' WHEN type LIKE 'Completed%' THEN 'statistics' ELSE 'none' END AS class FROM v_eav", "v_eav")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M
-from ..functions import geo
+from ..functions import geo, registered
 from ..operators import cover, grid
 from .base import bins, query, rounded, utm_sql, view
 
@@ -14,6 +14,13 @@ c = F.col
 _A = f"{geo.WGS84_A}e0"
 
 
+@query("P01_to_utm_in_sql", "SELECT field_id, seq, 15 AS zone, round(e, 3) AS e, round(n, 3) AS n FROM utm", "utm")
+def p01s(spark, sf) -> DataFrame:
+    registered.register(spark)
+    rows = spark.sql("SELECT field_id, seq, utm_zone(lon) AS zone, to_utm(lat, lon) AS at FROM {points}", points=view(spark, sf, "v_points"))
+    return rounded(rows.select("field_id", "seq", "zone", "at.e", "at.n"), 3)
+
+
 @query("P01_to_utm", "SELECT field_id, seq, 15 AS zone, round(e, 3) AS e, round(n, 3) AS n FROM utm", "utm")
 def p01(spark, sf) -> DataFrame:
     return rounded(grid.georeferenced(view(spark, sf, "v_points")).select("field_id", "seq", "zone", "e", "n"), 3)

@@ -110,3 +110,12 @@ def footprints(overlays: DataFrame, images: DataFrame) -> DataFrame:
     xy = spots.select("stem", F.split_part("spot", F.lit(","), F.lit(1)).try_cast("double").alias("lon"), F.try_element_at(F.split("spot", ","), F.lit(2)).try_cast("double").alias("lat")).where("lon IS NOT NULL AND lat IS NOT NULL")
     box = xy.groupBy("stem").agg(F.max("lat").alias("north"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.min("lon").alias("west"))
     return images.select(stem.alias("stem"), c("file").alias("image")).join(box, "stem")
+
+
+def folder_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, file, length, modified) of all files under a folder, by their names only: contents are not opened. folder is the path below root."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
+    base = F.lit(len(root.split("://")[-1].rstrip("/").lstrip("/").split("/")))
+    inner = F.regexp_replace("path", "^[a-z0-9]+:/+", "")
+    names = F.split(inner, "/")
+    return listed.select(F.array_join(F.slice(names, base + 1, F.size(names) - base - 1), "/").alias("folder"), F.element_at(names, -1).alias("file"), "length", c("modificationTime").alias("modified"))
