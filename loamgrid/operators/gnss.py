@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FRAME_MS, JITTER_MM, NO_HEIGHT, PARKED_MPH, PARKED_MS, RTK_MS, STABLE_MS, STALE_MS
 from ..functions import geo
+from .quantiles import exact_percentiles
 from . import grid
 
 c = F.col
@@ -95,7 +96,10 @@ def quality(fixes: DataFrame, order: str = "fast_ms") -> DataFrame:
 
 
 def median_position(fixes: DataFrame) -> DataFrame:
-    return fixes.where(c("rtk") == "Fix").groupBy("machine_id").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("n"))
+    """(machine_id, lat, lon, n): exact medians of the fixed positions of each machine, by distributed selection."""
+    fixed = fixes.where(c("rtk") == "Fix")
+    lat = exact_percentiles(fixed, ["machine_id"], "lat", {"lat": 0.5}, [F.count("*").alias("n")])
+    return lat.join(exact_percentiles(fixed, ["machine_id"], "lon", {"lon": 0.5}), "machine_id").select("machine_id", "lat", "lon", "n")
 
 
 def blade_edges(rows: DataFrame, width_m: float, order: str = "fast_ms") -> DataFrame:

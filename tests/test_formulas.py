@@ -211,3 +211,19 @@ def test_cascade_in_turns(spark):
             low, level = (mid, level) if sum(max(d - mid, 0) for d in depths) * 4.0 > volume * 4.0 else (low, mid)
         ponds = {r.bx: r.pond for r in drainage.pond_depths(regions, spark.createDataFrame([(0, 1, volume * 4.0)], "field_id int, sink int, stored double"), 4.0).collect()}
         assert all(abs(ponds[i] - max(d - level, 0)) < 1e-9 for i, d in enumerate(depths))
+
+
+def test_exact_percentiles_of_large_and_small_groups(spark):
+    """A sketch of low accuracy, so that brackets are real; ties, heavy tails, one value, nulls, no value."""
+    from loamgrid.operators.quantiles import exact_percentiles
+
+    rng = np.random.default_rng(5)
+    groups = {0: rng.normal(0, 1, 5000), 1: np.round(rng.normal(0, 2, 4000)), 2: np.exp(rng.normal(0, 40, 3000)), 3: np.array([7.5]), 4: rng.random(2), 5: np.full(900, 3.0), 6: np.r_[np.zeros(2000), 1.0]}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [(0, None), (8, None)]
+    table = spark.createDataFrame(rows, "k int, z double").repartition(7)
+    shares = {"low": 0.25, "mid": 0.5, "high": 0.75, "top": 0.999, "first": 0.0, "last": 1.0}
+    for accuracy in (50, 10_000):
+        got = {r.k: r for r in exact_percentiles(table, ["k"], "z", shares, accuracy=accuracy).collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            assert np.allclose([got[k][n] for n in shares], np.quantile(values, list(shares.values())), rtol=1e-12)
