@@ -93,7 +93,7 @@ def g08(spark, sf) -> DataFrame:
 
 @query("G10_observed_mask", None)
 def g10(spark, sf) -> DataFrame:
-    return surface.observed_mask(_mask(spark, sf).where("(bx - 25) * (bx - 25) + (by_ - 20) * (by_ - 20) < 300"))
+    return surface.observed_mask(_mask(spark, sf))
 
 
 _BLUR = """WITH r AS (SELECT field_id, bx, by_, (sum(z) OVER (PARTITION BY by_ ORDER BY bx RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) + greatest(0, 3 - bx) * first_value(z) OVER (PARTITION BY by_ ORDER BY bx) + greatest(0, bx + 3 - max(bx) OVER ()) * last_value(z) OVER (PARTITION BY by_ ORDER BY bx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 7 AS z FROM v_grid)
