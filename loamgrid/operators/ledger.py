@@ -100,11 +100,11 @@ def capacity_alarms(loads: DataFrame, capacity: float) -> DataFrame:
     return loads.withColumn("before", before).where((c("load") >= capacity) & (c("before") < capacity)).drop("before")
 
 
-def settled(rows: DataFrame, last: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(to apply, waiting, in conflict): operations (field_id, op_no, op_id) that came in or waited, by what is applied: last (field_id, last_no), and the ledger itself.
+def settled(rows: DataFrame, last: DataFrame, applied: DataFrame) -> DataFrame:
+    """rows with status (applied, waiting, quarantine): operations (field_id, op_no, op_id) that came in or waited, by what is applied before: last (field_id, last_no), and the ledger itself.
 
     Of each number one operation counts, the one applied or, if none is, that with the smallest op_id. The same operation
-    again is dropped; another one by its number is a conflict. Numbers that follow on from the last one apply, up to the
+    again is dropped; another one by its number goes to quarantine. Numbers that follow on from the last one apply, up to the
     first gap; those behind it wait until the gap closes, however many batches that takes.
     """
     got = rows.join(last, "field_id", "left").withColumn("last_no", F.coalesce("last_no", F.lit(0))).dropDuplicates(["field_id", "op_no", "op_id"])
@@ -113,9 +113,14 @@ def settled(rows: DataFrame, last: DataFrame, applied: DataFrame) -> tuple[DataF
     against_ledger = again.join(applied.select(*same).distinct(), same, "left_anti")
     new = got.where(c("op_no") > c("last_no")).withColumn("choice", F.row_number().over(Window.partitionBy("field_id", "op_no").orderBy("op_id")))
     against_new = new.where("choice > 1").drop("last_no", "choice")
-    place = F.row_number().over(Window.partitionBy("field_id").orderBy("op_no"))
-    chosen = new.where("choice = 1").withColumn("fits", c("op_no") - c("last_no") == place).drop("choice", "last_no")
-    return chosen.where("fits").drop("fits"), chosen.where("NOT fits").drop("fits"), against_ledger.unionByName(against_new)
+    # A field's first gap is the smallest number that none has and whose predecessor is there or applied; no task gets a field.
+    chosen = new.where("choice = 1").drop("choice")
+    there = chosen.select("field_id", c("op_no").cast("long").alias("op_no"))
+    after = there.unionByName(chosen.select("field_id", c("last_no").alias("op_no")).distinct()).select("field_id", (c("op_no") + 1).alias("op_no"))
+    gaps = after.join(there, ["field_id", "op_no"], "left_anti").groupBy("field_id").agg(F.min("op_no").alias("gap"))
+    chosen = chosen.join(gaps, "field_id").withColumn("fits", c("op_no") < c("gap")).drop("last_no", "gap")
+    told = chosen.withColumn("status", F.when(c("fits"), "applied").otherwise("waiting")).drop("fits")
+    return told.unionByName(against_ledger.unionByName(against_new).withColumn("status", F.lit("quarantine")))
 
 
 def heartbeats(events: DataFrame, gap_ms: int = HEARTBEAT_MS) -> DataFrame:

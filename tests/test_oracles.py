@@ -9,9 +9,6 @@ import pytest
 import __spark_entry__ as entry
 from loamgrid.plans import catalog
 
-#: Slow loops run in their own tests on small grids.
-SLOW = {"G06_warp_tolerance"}
-
 
 def rows(df):
     df = df.reindex(sorted(df.columns), axis=1)
@@ -34,7 +31,7 @@ def db(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_same_as_sql(spark, sf, db, name):
     a, b = rows(catalog.QUERIES[name](spark, sf).toPandas()), rows(db.sql(catalog.SQL[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b) > 0
