@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M, NO_DATA, NO_HEIGHT
 from ..functions import geo
 from . import cover, grid
-from .loops import shared_dir
+from .loops import exists, remove, shared_dir
 
 c = F.col
 KEY = grid.KEY
@@ -95,6 +95,54 @@ def field_state_round_trip(cells: DataFrame, up: float = 0.25) -> DataFrame:
     return got.select(*KEY, *[F.round(x, 9).alias(x) for x in ("initial_m", "current_m")])
 
 
+def upsert(rows: DataFrame, path: str, keys: list[str], parts: list[str]) -> None:
+    """Insert rows into the Parquet table at path, or update those whose keys are there: a column that rows lack, or that is null in them, keeps its stored value.
+
+    parts are key columns, or columns that follow from keys, by which the table has folders: only folders with a key in
+    rows are read and rewritten (Spark's dynamic overwrite), whatever the table's size. What is written is staged first,
+    and the same rows again change nothing, so a failed call is repeated. Of rows with equal keys one counts, the largest.
+    """
+    spark = rows.sparkSession
+    rest = [x for x in rows.columns if x not in (*keys, *parts)]
+    rows = rows.groupBy(*keys, *[p for p in parts if p not in keys]).agg(F.max(F.struct(*rest)).alias("__new")).select(*keys, *[p for p in parts if p not in keys], "__new.*") if rest else rows.distinct()
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        touched = stored.join(rows.select(*parts).distinct(), parts, "left_semi")
+        new = rows.withColumnsRenamed({x: f"__new_{x}" for x in rest})
+        both = touched.join(new, list(dict.fromkeys([*keys, *parts])), "full")
+        kept = [F.coalesce(c(f"__new_{x}"), c(x)).alias(x) if x in rest else c(x) for x in stored.columns]
+        rows = both.select(*kept, *[c(f"__new_{x}").alias(x) for x in rest if x not in stored.columns])
+    held = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    rows.write.parquet(held)
+    back = spark.read.schema(rows.schema).parquet(held)
+    back.repartition(*parts).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).parquet(path)
+    remove(spark, held)
+
+
+def with_tile(cells: DataFrame, tile_bins: int = cover.TILE_BINS) -> DataFrame:
+    """cells with tile, the part of its field in which a bin is stored."""
+    at = lambda x: F.floor(c(x) / float(tile_bins)).cast("int").cast("string")
+    return cells.withColumn("tile", F.concat_ws("_", at("bx"), at("by_")))
+
+
+def upsert_bins(cells: DataFrame, path: str, up: Column | float = 0.0) -> None:
+    """Insert or update bins of the field state at path, one or many: heights less the calibration ``up``; a height that cells lack stays as it is. Only the tiles of these bins are rewritten."""
+    heights = [x for x, t in cells.dtypes if t == "double"]
+    stored = with_tile(cells).select(*[(c(x) - up).alias(x) if x in heights else c(x) for x in (*cells.columns, "tile")])
+    upsert(stored, path, KEY, ["field_id", "tile"])
+
+
+def bins_at(spark: SparkSession, path: str, field_id: int, bx: int, by_: int, up: Column | float = 0.0) -> DataFrame:
+    """The stored state of one bin; Spark reads its tile only."""
+    tile = with_tile(spark.createDataFrame([(field_id, bx, by_)], "field_id int, bx int, by_ int")).first()["tile"]
+    return read_field_state(spark, path, up).where((c("field_id") == field_id) & (c("tile") == tile) & (c("bx") == bx) & (c("by_") == by_)).drop("tile")
+
+
+def metadata(values: DataFrame, names: list[str]) -> DataFrame:
+    """(field_id, a column for each of names) from stored pairs (field_id, name, value); null where a field has none."""
+    return values.where(c("name").isin(names)).groupBy("field_id").agg(*[F.max(F.when(c("name") == n, c("value"))).alias(n) for n in names])
+
+
 def stripped(cells: DataFrame, depth: float, coverage_only: bool = False) -> DataFrame:
     """Targets a depth below existing heights over the whole rectangle; missing heights count as 0 unless only covered bins are wanted."""
     got = cells.where("existing IS NOT NULL") if coverage_only else cells

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M, CY_PER_M3, M2_PER_ACRE
 from ..functions import geo
 from ..operators import cover, grid, tables
+from ..operators.loops import shared_dir
 from .base import bins, query, rounded, view
 from .scalars import _BAND
 
@@ -234,6 +237,22 @@ def s12(spark, sf) -> DataFrame:
     return rounded(tables.statistics(bins(spark, sf), 0.2, 0.1, 90.0))
 
 
+@query(
+    "S06_bin_upsert",
+    "WITH h AS (SELECT field_id, bx, by_, max(existing) AS existing FROM binned GROUP BY field_id, bx, by_) SELECT field_id, bx, by_, round(existing, 6) AS initial_m, round(CASE WHEN bx % 3 = 0 THEN existing - 0.5e0 ELSE existing END, 6) AS current_m FROM h UNION ALL SELECT field_id, -1 AS bx, by_, 1.0e0 AS initial_m, 2.0e0 AS current_m FROM (SELECT DISTINCT field_id, by_ FROM h WHERE by_ < 40)",
+    "binned",
+)
+def s06u(spark, sf) -> DataFrame:
+    """A table of bins; then every third column's heights are updated, which leaves initial heights alone, and a column is inserted."""
+    path = f"{shared_dir(spark)}/bins-{uuid.uuid4().hex}"
+    points = grid.binned(grid.georeferenced(view(spark, sf, "v_points")))
+    cells = points.groupBy(*KEY).agg(F.max("existing").alias("initial_m"), F.max("existing").alias("current_m"))
+    tables.upsert_bins(cells, path, 0.25)
+    tables.upsert_bins(cells.where("bx % 3 = 0").select(*KEY, (c("current_m") - 0.5).alias("current_m")), path, 0.25)
+    tables.upsert_bins(cells.where("by_ < 40").select("field_id", "by_").distinct().select("field_id", F.lit(-1).alias("bx"), "by_", F.lit(1.0).alias("initial_m"), F.lit(2.0).alias("current_m")), path, 0.25)
+    return rounded(tables.read_field_state(spark, path, 0.25).select(*KEY, "initial_m", "current_m"), 6)
+
+
 @query("S06_field_state", "WITH m AS (SELECT field_id, bx, by_, round(existing, 9) AS initial_m, CASE WHEN bx % 9 = 0 THEN NULL ELSE round(existing + 0.05e0, 9) END AS current_m FROM bins) SELECT * FROM m", "bins")
 def s06(spark, sf) -> DataFrame:
     cells = bins(spark, sf).select(*KEY, F.round("existing", 9).alias("initial_m"), F.when(c("bx") % 9 != 0, F.round(c("existing") + 0.05, 9)).alias("current_m"))
