@@ -188,7 +188,7 @@ def observed_mask(seen: DataFrame) -> DataFrame:
 LEAST_OFFSET_M, MOST_OFFSET_M = 0.0, 100.0
 
 
-def balanced_plane(cells: DataFrame, a: float, b: float, ratio: float = FILL_RATIO, import_m3: float = 0.0, export_m3: float = 0.0, buckets: int = 64, rounds: int = 12) -> DataFrame:
+def balanced_plane(cells: DataFrame, a: float, b: float, ratio: float = FILL_RATIO, import_m3: float = 0.0, export_m3: float = 0.0, buckets: int = 1024, rounds: int = 4) -> DataFrame:
     """(field_id, c): the height at which the cut of the plane z = a E + b N + c over cells (x, y, z), and what is brought in, are ratio times the fill and what is taken away. c is null where no height from 0 to 100 m balances.
 
     The balance falls with c and is linear between the cells' residuals. Each round counts residuals in buckets of the
