@@ -61,6 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a counted table of short rows is broadcast; beyond it the join is left to Spark.
+FEW_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of short rows, such as one a field, written out and counted: broadcast if there are few, else joined as Spark chooses."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed", max_rounds: int = 200) -> DataFrame:
     """Repeat step until no row says that it changed. step returns the columns of state and the flag ``changed``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .loops import few
+
 c = F.col
 #: A sketch of this accuracy brackets each percentile; a group of at most twice as many rows is its own bracket.
 ACCURACY = 10_000
@@ -21,9 +23,10 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str, shares: dic
     names, slack = list(shares), 2 / accuracy
     at = [f(p) for p in shares.values() for f in (lambda p: max(0.0, p - slack), lambda p: min(1.0, p + slack))]
     ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", at, accuracy).alias("__at"), *(more or []))
-    few = c("__n") <= 2 * accuracy
-    low = lambda i: F.when(few, c("__least")).otherwise(c("__at")[2 * i])
-    high = lambda i: F.when(few, c("__most")).otherwise(c("__at")[2 * i + 1])
+    ends = few(ends)  # a row a group
+    whole = c("__n") <= 2 * accuracy
+    low = lambda i: F.when(whole, c("__least")).otherwise(c("__at")[2 * i])
+    high = lambda i: F.when(whole, c("__most")).otherwise(c("__at")[2 * i + 1])
     brackets = ends.select(*keys, F.array(*[F.struct(F.lit(i).alias("i"), low(i).alias("low"), high(i).alias("high")) for i in range(len(names))]).alias("__brackets"))
     # Below a bracket a row counts only; inside it counts for its value.
     met = rows.select(*keys, "__v").join(brackets, keys)
