@@ -152,8 +152,8 @@ def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def fit(urls: DataFrame, rows: int = FIT_ROWS) -> BoostedTrees:
-    """Trees fitted on at most ``rows`` labelled URLs (__label block or allow), the first by hash: a bounded sample that goes to the driver."""
-    sample = urls.where("__label IS NOT NULL").select(*_INPUT, "__label").orderBy(F.xxhash64("url"), "url").limit(rows).toArrow()
+    """Trees fitted on at most ``rows`` different labelled URLs (__label block or allow), the first by hash: a bounded sample that goes to the driver. However often a URL is there, it counts once."""
+    sample = urls.where("__label IS NOT NULL").select(*_INPUT, "__label").distinct().orderBy(F.xxhash64("url"), "url").limit(rows).toArrow()
     return BoostedTrees(_matrix(sample), np.array([x == "block" for x in sample.column("__label").to_pylist()], float))
 
 

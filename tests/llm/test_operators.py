@@ -55,6 +55,16 @@ def test_op1_trees_learn():
     assert ((urls.BoostedTrees(x[:1500], y[:1500]).probability(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.9
 
 
+def test_op1_sample_takes_a_url_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(urls, "BoostedTrees", lambda x, y: seen.append(len(y)))
+    rows = [("http://a.net/", "a.net", "/", "block")] * 50 + [(f"http://h{k}.org/fr/", f"h{k}.org", "/fr/", "allow") for k in range(5)]
+    table = urls.with_statistics(spark.createDataFrame(rows, "url string, __host string, __path string, __label string"))
+    urls.fit(table, 6)
+    urls.fit(table, 3)
+    assert seen == [6, 3]
+
+
 def test_op1_held_out_urls(spark):
     """Labelled URLs whose label is hidden, by area under the curve, where the label follows the URL's form; statistics never see a row's own label."""
     rng = np.random.default_rng(12)
