@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import read, staged
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 32
-#: Points of the quadrature on the upper half circle; eigenvalues of one interval, their ratio, and its rounds.
-POINTS, WIDTH, SPREAD, ROUNDS = 8, 12, 30, 40
+#: Points of the quadrature on the upper half circle; eigenvalues of one interval, its rounds, and rounds after which its space grows.
+POINTS, WIDTH, ROUNDS, PATIENCE = 8, 18, 60, 8
 #: Entries are held to this size after scaling: beyond it a double has no fraction to floor.
 LARGEST = 2.0**53
 _LOW_BITS = 2.0**26
@@ -60,29 +60,73 @@ def eigenvalue(diagonal: np.ndarray, off: np.ndarray, k: int, low: float, high:
     return (low + high) / 2
 
 
+def _quadrature() -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors to the points on the upper half circle, by Gauss-Legendre, and their weights."""
+    nodes, weights = np.polynomial.legendre.leggauss(POINTS)
+    return np.exp(1j * np.pi / 2 * (nodes + 1)), weights / 2
+
+
+def response(values: np.ndarray, low: float, high: float) -> np.ndarray:
+    """What the quadrature of the circle on (low, high) makes of a part with such an eigenvalue: about 1 inside, 1/2 at the edge, falling outside."""
+    turns, weights = _quadrature()
+    radius = (high - low) / 2
+    away = (low + high) / 2 + radius * turns[:, None] - np.asarray(values, float)
+    return np.abs((weights[:, None] * (radius * turns[:, None] / away).real).sum(axis=0))
+
+
+def space_size(n: int, count: int) -> int:
+    return min(n, max(count + 6, math.ceil(1.5 * count)))
+
+
+def rate(inside: list[float], outside: list[float], low: float, high: float, n: int) -> float:
+    """The factor by which a round of feast lessens the error at least: the largest response that has no place in its space, over the least one inside."""
+    spare = space_size(n, len(inside)) - len(inside)
+    beyond = np.sort(response(np.array(outside), low, high))[::-1][spare:]
+    return max(float(beyond.max(initial=0.0)) / float(response(np.array(inside), low, high).min()), float(np.finfo(float).eps))
+
+
 def intervals(diagonal: np.ndarray, off: np.ndarray, wanted: int, floor: float) -> list[tuple[float, float, int]]:
     """(low, high, count) of intervals that hold the ``wanted`` largest eigenvalues above floor, and what lies as near below them as the cut asks for.
 
-    About WIDTH values, of which the largest is at most SPREAD times the smallest, make an interval; the cut is in the
-    middle of the widest gap within a few values of that.
+    Of up to WIDTH values, an interval takes those of which most settle in a round: a wide circle around few large values
+    would not tell those at its lower edge from what lies below. Values equal to rounding stay together.
     """
+    n = len(diagonal)
     reach = np.abs(np.concatenate(([0.0], off))) + np.abs(np.concatenate((off, [0.0])))
     bound = float((diagonal + reach).max(initial=floor)) * (1 + 1e-9)
     positive = count_above(diagonal, off, floor)
-    values = [eigenvalue(diagonal, off, k, floor, bound) for k in range(1, min(positive, wanted + 2 * WIDTH) + 1)]
-    if len(values) == positive:
-        values.append(floor)
-    found, above, high = [], 0, values[0] * 1.2
+    values: list[float] = []
+
+    def value(k: int) -> float:
+        """The k-th largest eigenvalue, or floor."""
+        while len(values) < min(k, positive):
+            values.append(eigenvalue(diagonal, off, len(values) + 1, floor, bound))
+        return values[k - 1] if k <= positive else floor
+
+    def apart(k: int) -> int:
+        """The first k from here on, after which there is a gap."""
+        while k < positive and value(k) - value(k + 1) < max(1e-9 * value(k), floor):
+            # All values within rounding of the next one follow at once; only the last is worked out.
+            same = max(k + 1, min(positive, count_above(diagonal, off, value(k + 1) - max(1e-9 * value(k + 1), floor))))
+            values.extend([value(k + 1)] * (same - 1 - len(values)))
+            k = same
+        return k
+
+    found, above, high = [], 0, value(1) * 1.2
     while above < min(wanted, positive):
-        near = [k for k in range(above + 1, min(above + WIDTH + WIDTH // 2, len(values) - 1) + 1) if values[k - 1] >= values[above] / SPREAD]
-        cuts = [k for k in near if k >= above + WIDTH // 2] or near
-        goal = max(cuts, key=lambda k: (values[k - 1] - values[k]) / values[k - 1])
-        while values[goal - 1] - values[goal] < 1e-9 * values[goal - 1] and goal < len(values) - 1:
-            goal += 1  # equal values stay together
-        low = (values[goal - 1] + values[goal]) / 2
-        count = count_above(diagonal, off, low) - above
-        found.append((low, high, count))
-        above, high = above + count, low
+        last = min(positive, max(wanted, above) + 2 * WIDTH)
+        value(last)
+        best = None
+        for k in sorted({apart(k) for k in range(above + 1, min(above + WIDTH, positive) + 1)}):
+            low = (value(k) + value(k + 1)) / 2
+            # Values below the last known one count as if they stood there.
+            outside = values[:above] + values[k:] + [value(len(values) + 1 if len(values) < positive else positive + 1)] * (n - len(values))
+            settled = -(k - above) * math.log(min(rate(values[above:k], outside, low, high, n), 1 - 1e-9))
+            if best is None or settled > best[0]:
+                best = settled, low, k
+        _, low, k = best
+        found.append((low, high, k - above))
+        above, high = k, low
     return found
 
 
@@ -91,20 +135,20 @@ def feast(v: np.ndarray, low: float, high: float, count: int, seed: int = 0) ->
 
     The spectral projector of the interval is a contour integral of (z - v)^-1 over the circle on it. Gauss-Legendre
     points on the upper half stand for it; a Rayleigh-Ritz step takes the vectors from the projected space; both repeat
-    until the residuals are at rounding. More or fewer values than the count raise.
+    until the residuals are at rounding. Where values crowd at the edge, so that they don't settle, the space grows by half
+    and so takes up those outside. More or fewer values than the count raise.
     """
     n, centre, radius = len(v), (low + high) / 2, (high - low) / 2
-    size = min(n, max(count + 6, math.ceil(1.5 * count)))
-    space = np.random.default_rng([seed, n, count]).standard_normal((n, size))
-    nodes, weights = np.polynomial.legendre.leggauss(POINTS)
-    turns = np.exp(1j * np.pi / 2 * (nodes + 1))
+    random = np.random.default_rng([seed, n, count])
+    space = random.standard_normal((n, space_size(n, count)))
+    turns, weights = _quadrature()
     scale = np.linalg.norm(v, 2)
     before = math.inf
-    for _ in range(ROUNDS):
+    for k in range(1, ROUNDS + 1):
         projected = np.zeros_like(space)
         for turn, weight in zip(turns, weights, strict=True):
             solved = np.linalg.solve((centre + radius * turn) * np.eye(n) - v, space.astype(complex))
-            projected += weight / 2 * (radius * turn * solved).real
+            projected += weight * (radius * turn * solved).real
         q, _ = np.linalg.qr(projected)
         values, inner = np.linalg.eigh(q.T @ v @ q)
         space = q @ inner
@@ -112,9 +156,11 @@ def feast(v: np.ndarray, low: float, high: float, count: int, seed: int = 0) ->
         # A mixture of vectors from both sides may have its value inside, but not a small residual.
         settled = (values > low) & (values <= high) & (residual <= 4 * n * np.finfo(float).eps * scale)
         worst = residual[settled].max(initial=0.0)
-        if settled.sum() == count and worst >= before / 4:
+        if settled.sum() == count and (worst >= before / 4 or k == ROUNDS):
             return values[settled], space[:, settled]
         before = worst if settled.sum() == count else math.inf
+        if k % PATIENCE == 0 and settled.sum() != count:
+            space = np.hstack([space, random.standard_normal((n, min(n, -(-3 * space.shape[1] // 2)) - space.shape[1]))])
     raise ArithmeticError(f"{settled.sum()} eigenvalues settled of the {count} that inertia counts")
 
 

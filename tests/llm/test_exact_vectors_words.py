@@ -98,6 +98,33 @@ def test_inertia_counts():
     assert all(((e > low) & (e <= high)).sum() == n for low, high, n in parts) and sum(n for *_, n in parts) >= 32
 
 
+def crowded():
+    """Spectra whose values crowd below a few large ones (as with many copies of one vector), or are equal far beyond the 32nd."""
+    rng = np.random.default_rng(4)
+
+    def of(e):
+        q = np.linalg.qr(rng.standard_normal((len(e), len(e))))[0]
+        return q @ np.diag(np.array(e, float)) @ q.T
+
+    return {"spike": of([400, 130, *np.linspace(69, 48, 62)]), "narrow": of([1000, *np.linspace(101, 100, 127)]), "equal": of([3] * 100), "one-hot": np.eye(128) / 128 - 1 / 128**2, "dense": of(np.linspace(1, 1 + 1e-4, 90)), "near": of(1 + 1e-10 * np.arange(90)), "two": of([7] * 20 + [6.999999] * 30 + [1] * 50)}
+
+
+@pytest.mark.parametrize("name", crowded())
+def test_crowded_components(name):
+    v = crowded()[name]
+    v = (v + v.T) / 2
+    e, x = whitening.largest_components(v)
+    assert np.allclose(e, np.sort(np.linalg.eigvalsh(v))[::-1][:32], rtol=1e-12) and np.allclose(x @ x.T, np.eye(32), atol=1e-12)
+    assert np.abs(v @ x.T - x.T * e).max() <= 1e-12 * np.abs(v).max()
+
+
+def test_op12_one_hot(spark):
+    """All directions but one have the same variance: any 32 of them do."""
+    table = spark.createDataFrame([(i, [float(i == k) for k in range(100)]) for i in range(100)], "vec_id long, embedding array<float>")
+    got = whitening.whitened(table).toPandas()
+    assert len(got) == 3200 and got.identity_error.max() <= 1e-9 and np.allclose(got.explained, 1 / 99)
+
+
 def test_op12_rows(spark, sf):
     got = registry.QUERIES["op12_whitening"](spark, sf).toPandas()
     r = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
