@@ -9,7 +9,7 @@ from .common import discard, read, set_aside, staged
 
 #: Jaccard similarity of the sets of words, 4/5, in whole numbers: 9 * shared >= 4 * (words of one + words of the other).
 #: Token frequencies are counted by hash, in so many counters.
-COUNTERS = 1 << 15
+COUNTERS = 1 << 16
 _HASH_BITS = 48
 
 
@@ -54,7 +54,8 @@ def with_keys(lines: DataFrame, ranks: list[int]) -> DataFrame:
 
     def key(t: Column) -> Column:
         h = F.xxhash64(t)
-        return F.shiftleft(table[h.bitwiseAND(F.lit(COUNTERS - 1))], _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        rank = F.coalesce(table[h.bitwiseAND(F.lit(COUNTERS - 1))], F.lit(0).cast("long"))  # never null: Spark sorts such numbers as they are, others boxed
+        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
     k = F.sort_array(F.array_remove(F.array_distinct(F.transform(_raw_words(F.col("line")), key)), key(F.lit(""))))
     return lines.withColumn("k", F.explode(F.array(k))).withColumn("n", F.size("k"))  # explode keeps k from being worked out at each use
@@ -102,9 +103,11 @@ def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = split_lines(docs).groupBy(F.xxhash64("line"), F.xxhash64(F.lit("again"), "line")).agg(F.min(F.struct(*order)).alias("at")).select("at.*")
     # The number of a row is only sure once the sorted partitions are written.
     firsts = staged(firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("num", F.monotonically_increasing_id()), "line-firsts")
-    wanted = firsts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("no", "num")).alias("wanted")).toDF("d", "t", "wanted")
-    texts = docs.select("doc_id", _text_key(), "text").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+    # Both sides are grouped and joined by the same columns, of which none is null, so texts move once; and at any size alike.
+    by = [F.struct("doc_id").alias("at"), "text_key"]
+    wanted = firsts.groupBy(*by).agg(F.collect_list(F.struct("no", "num")).alias("wanted"))
+    texts = docs.select("doc_id", _text_key(), "text").groupBy(*by).agg(F.first("text").alias("text"))
+    held = texts.join(wanted.hint("merge"), ["at", "text_key"])
     held = held.select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("all"))  # explode keeps the split from being done at each use
     held = held.select(F.inline(F.transform("wanted", lambda x: F.struct(x["num"].alias("num"), F.col("all")[x["no"]].alias("line")))))
     return firsts, staged(held, "line-texts")

@@ -85,6 +85,24 @@ def test_op1_held_out_urls(spark):
     assert got["u3"] == 0.5 and (folds["u1"] == folds["u2"] or (got["u1"] < 0.5 < got["u2"]))
 
 
+def test_op2_moves_texts_once(spark, tricky, monkeypatch):
+    """The texts of the different lines come from one shuffle of the documents, by a merge join at any size; numbers of words are never null."""
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    staged = lines.staged
+    monkeypatch.setattr(lines, "staged", seen)
+    docs = spark.read.parquet(f"{tricky}/documents.parquet").select("doc_id", "text")
+    texts = lines.distinct_lines(docs)[1]
+    plan = plans["line-texts"]
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.line for r in texts.collect()} == {x for r in docs.collect() for x in (r.text or "").split("\n") if x.encode().split()}
+    assert not lines.with_keys(texts, [1] * lines.COUNTERS).schema["k"].dataType.containsNull
+
+
 def test_op2_all_pairs(spark, tricky):
     docs = {(d["doc_id"], d["text"]) for d in table(spark, tricky, "documents")}
     key = lambda t: int(np.array([xxhash.xxh64_intdigest((t or "").encode(), 42)], np.uint64).view(np.int64)[0])
