@@ -124,7 +124,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     rows = prefixes(with_keys(texts, frequencies(texts)))
     found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.num") != F.col("b.num")) & plausible("a", "b"), "left_semi")
     chosen = staged(found.select("num").distinct(), "line-chosen")
-    held = staged(texts.join(chosen, "num", "left_semi"), "line-held")
+    held = staged(texts.join(chosen.hint("merge"), "num", "left_semi"), "line-held")
     discard(texts, chosen)
     rows = staged(prefixes(with_keys(held, frequencies(held))), "line-prefixes")
     # 2. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
