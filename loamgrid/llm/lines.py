@@ -11,22 +11,29 @@ from .common import discard, read, set_aside, staged
 #: Token frequencies are counted by hash, in so many counters.
 COUNTERS = 1 << 16
 _HASH_BITS = 48
+#: Lines of more words have signatures of 128 bits, others of 64.
+_LONG = 80
 
 
-def _raw_words(line: Column) -> Column:
-    """The line's words and perhaps some empty ones. Rare spaces become blanks first, so that the quick split at one character will do."""
-    rare = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.split(F.when(rare, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line), " ")
+def _rare_spaces(text: Column) -> Column:
+    """Whether words of the text may be parted by something else than blanks."""
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
 
 
-def words(line: Column) -> Column:
-    """The line's words, each once."""
-    return F.array_remove(F.array_distinct(_raw_words(line)), "")
+def _raw_words() -> Column:
+    """Words of "line" and perhaps some empty ones. Where "rare" says so, rare spaces become blanks first, so that the quick split at one character will do."""
+    return F.split(F.when(F.col("rare"), F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(F.col("line")), " ")
+
+
+def words() -> Column:
+    """The words of "line", each once, by 64-bit hashes: Spark compares arrays of numbers several times as fast as arrays of strings."""
+    return F.array_remove(F.array_distinct(F.transform(_raw_words(), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, no, line) of the lines with a word of docs (doc_id, text); text_key tells repeated rows of a doc_id apart."""
-    lines = docs.select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    keyed = docs.select("doc_id", _text_key(), "text")  # beside posexplode, the key would be worked out anew for each line
+    lines = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return lines.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
@@ -42,7 +49,7 @@ def _numbers(values: list[int]) -> Column:
 def frequencies(lines: DataFrame) -> list[int]:
     """A rank by frequency for each counter: 1 plus eight times the binary logarithm of how often its tokens occur in all lines. COUNTERS rows at most go to the driver."""
     out = [0] * COUNTERS
-    counters = lines.select(F.explode(_raw_words(F.col("line"))).alias("t")).groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("counter"))
+    counters = lines.select(F.explode(_raw_words()).alias("t")).groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("counter"))
     for row in counters.agg((1 + F.floor(8 * F.log2(F.count("*")))).cast("int").alias("rank")).collect():
         out[row["counter"]] = row["rank"]
     return out
@@ -57,44 +64,47 @@ def with_keys(lines: DataFrame, ranks: list[int]) -> DataFrame:
         rank = F.coalesce(table[h.bitwiseAND(F.lit(COUNTERS - 1))], F.lit(0).cast("long"))  # never null: Spark sorts such numbers as they are, others boxed
         return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    k = F.sort_array(F.array_remove(F.array_distinct(F.transform(_raw_words(F.col("line")), key)), key(F.lit(""))))
-    return lines.withColumn("k", F.explode(F.array(k))).withColumn("n", F.size("k"))  # explode keeps k from being worked out at each use
+    k = F.sort_array(F.array_remove(F.array_distinct(F.transform(_raw_words(), key)), key(F.lit(""))))
+    return lines.withColumn("k", k).withColumn("n", F.size("k"))  # a projection compiles what surrounds the lambda; explode(array(k)) would interpret it all
 
 
 def prefixes(lines: DataFrame) -> DataFrame:
-    """(tok, num, m, s1, s2): a row for each of the first n - ceil(4n/5) + 1 words of lines (num, n, k), in order of rarity.
+    """(tok, num, u, v, s1, s2): a row for each of the first n - ceil(4n/5) + 1 words of lines (num, n, k), in order of rarity.
 
-    Of two similar sets, these prefixes share a word. m holds n and the word's place. The signature s1, s2 holds, for 128
-    classes of words, whether their number is odd: it differs in no more bits than the sets differ in words.
+    Of two similar sets, these prefixes share a word. v is 4n and u 5n less 9 times the word's place. The signature s1, s2
+    holds, for 128 classes of words, whether their number is odd: it differs in no more bits than the sets differ in words.
+    Up to _LONG words, s1 holds the two halves in one and s2 is zero.
     """
     bit = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
-    halves = {"s1": _numbers(bit + [0] * 64), "s2": _numbers([0] * 64 + bit)}
-    parities = lambda t: F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(t[x.bitwiseAND(F.lit(127))]))
-    sig = [parities(t).alias(name) for name, t in halves.items()]
-    cut = lines.select("num", "n", F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), *sig)
-    cut = cut.select("num", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "tok"))
-    return cut.select("tok", "num", F.expr("shiftleft(cast(n AS bigint), 32) | pos").alias("m"), "s1", "s2")
+    parities = lambda t: F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_numbers(t)[x.bitwiseAND(F.lit(127))]))
+    short = F.col("n") <= _LONG
+    s1 = F.when(short, parities(bit + bit)).otherwise(parities(bit + [0] * 64))
+    s2 = F.when(short, F.lit(0).cast("long")).otherwise(parities([0] * 64 + bit))
+    cut = lines.select("num", "n", F.slice("k", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int")).alias("prefix"), s1.alias("s1"), s2.alias("s2"))
+    cut = cut.select("num", "n", "s1", "s2", F.posexplode_outer("prefix").alias("pos", "tok"))  # no prefix is empty; but for "outer", Spark works each out twice, to see that
+    number = lambda x, kind: F.coalesce(F.expr(x), F.lit(0)).cast(kind)
+    return cut.select("tok", "num", number("5 * n - 9 * pos", "int").alias("u"), number("4 * n", "int").alias("v"), number("s1", "long").alias("s1"), number("s2", "long").alias("s2"))
 
 
 def plausible(a: str, b: str) -> Column:
-    """Whether rows with a shared prefix word pass the length, positional and signature filters."""
-    n, left = "({0}.m >> 32)", "(({0}.m >> 32) - ({0}.m & 4294967295))"
-    na, nb, la, lb = n.format(a), n.format(b), left.format(a), left.format(b)
-    return F.expr(
-        f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND 9 * least({la}, {lb}) >= 4 * ({na} + {nb})"
-        f" AND bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {na} + {nb} - 2 * ((4 * ({na} + {nb}) + 8) div 9)"
-    )
-
-
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (z, w), the lines z whose words and those of w have a Jaccard similarity of at least 4/5."""
-    side = lambda name: lines.select(F.col("num").alias(name), words(F.col("line")).alias(f"words_{name}"))
+    """Whether rows with a shared prefix word pass the length, positional and signature filters.
+
+    With l words from the shared one on, at most min(l_a, l_b) are shared, so 9 * l >= 4 * (n_a + n_b) on both sides: u >= the
+    other's v. As l <= n, this is never so for sets whose sizes alone forbid it.
+    """
+    differ = f"if(({a}.v > {4 * _LONG}) = ({b}.v > {4 * _LONG}), bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2), bit_count({a}.s1 ^ {a}.s2 ^ {b}.s1 ^ {b}.s2))"
+    return F.expr(f"{a}.u >= {b}.v AND {b}.u >= {a}.v AND {differ} <= ({a}.v + {b}.v) div 4 - 2 * (({a}.v + {b}.v + 8) div 9)")
+
+
+def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Of pairs (z, w), the lines z whose words and those of w have a Jaccard similarity of at least 4/5; held has (num, words)."""
+    side = lambda name: held.select(F.col("num").alias(name), F.col("words").alias(f"words_{name}"))
     both = pairs.join(side("z"), "z").join(side("w"), "w")
     return both.where(9 * F.size(F.array_intersect("words_z", "words_w")) >= 4 * (F.size("words_z") + F.size("words_w"))).select("z").distinct()
 
 
 def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two staged tables: (num, doc_id, text_key, no), where each different line of docs occurs first, and (num, line).
+    """Two staged tables: (num, doc_id, text_key, no), where each different line of docs occurs first, and (num, line, rare): rare if its text holds spaces other than blanks.
 
     num names the line and grows with doc_id (null first), text_key and no. Copies are told by a 128-bit hash and counted
     before any row moves; texts are read where the first copy stands.
@@ -108,8 +118,9 @@ def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = firsts.groupBy(*by).agg(F.collect_list(F.struct("no", "num")).alias("wanted"))
     texts = docs.select("doc_id", _text_key(), "text").groupBy(*by).agg(F.first("text").alias("text"))
     held = texts.join(wanted.hint("merge"), ["at", "text_key"])
-    held = held.select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("all"))  # explode keeps the split from being done at each use
-    held = held.select(F.inline(F.transform("wanted", lambda x: F.struct(x["num"].alias("num"), F.col("all")[x["no"]].alias("line")))))
+    held = held.select("wanted", "text", _rare_spaces(F.col("text")).alias("rare"))
+    held = held.select("wanted", "rare", F.explode(F.array(F.split("text", "\n"))).alias("all"))  # explode keeps the split from being done at each use
+    held = held.select(F.explode("wanted").alias("x"), "all", "rare").select("x.num", F.col("all")[F.col("x.no")].alias("line"), "rare")
     return firsts, staged(held, "line-texts")
 
 
@@ -120,15 +131,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     same text or a set of words with a Jaccard similarity of at least 4/5. Rows equal in doc_id and text count as one.
     """
     firsts, texts = distinct_lines(docs)
-    # 1. Different lines with any plausible partner: rows of five numbers meet by rare word, and none is doubled by a match.
+    # 1. Rows of six numbers meet by rare word. Those with any plausible partner stay, and none is doubled by a match: all plausible pairs are among them.
     rows = prefixes(with_keys(texts, frequencies(texts)))
-    found = rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.num") != F.col("b.num")) & plausible("a", "b"), "left_semi")
-    chosen = staged(found.select("num").distinct(), "line-chosen")
-    held = staged(texts.join(chosen.hint("merge"), "num", "left_semi"), "line-held")
-    discard(texts, chosen)
-    rows = staged(prefixes(with_keys(held, frequencies(held))), "line-prefixes")
+    rows = staged(rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & plausible("a", "b") & (F.col("a.num") != F.col("b.num")), "left_semi"), "line-prefixes")
+    chosen = rows.select("num").distinct()
+    held = staged(texts.join(chosen.hint("merge"), "num", "left_semi").select("num", words().alias("words")), "line-held")
+    discard(texts)
     # 2. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
-    earliest = rows.groupBy("tok").agg(F.min(F.struct("num", "m", "s1", "s2")).alias("w"), F.count("*").alias("c")).where("c > 1").select("tok", "w.*")
+    earliest = rows.groupBy("tok").agg(F.min(F.struct("num", "u", "v", "s1", "s2")).alias("w"), F.count("*").alias("c")).where("c > 1").select("tok", "w.*")
     met = (F.col("z.tok") == F.col("w.tok")) & (F.col("w.num") < F.col("z.num")) & plausible("z", "w")
     pairs = rows.alias("z").join(earliest.alias("w"), met).select(F.col("z.num").alias("z"), F.col("w.num").alias("w")).distinct()
     gone = staged(_similar(pairs, held), "line-gone")
@@ -152,8 +162,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left").drop("__d", "__t", "__key")
     joined = joined.withColumn("__lines", F.explode(F.array(F.split("text", "\n"))))  # explode keeps the split from being done at each use
     blank = F.filter(F.transform("__lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "", i)), lambda i: i.isNotNull())
-    places = F.array_sort(F.array_union(blank, F.coalesce("__nos", F.array().cast("array<int>"))))
-    joined = joined.withColumn("__places", F.explode(F.array(places)))
+    joined = joined.withColumn("__places", F.sort_array(F.array_union(blank, F.coalesce("__nos", F.array().cast("array<int>")))))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
     joined = joined.withColumn("__n_lines", size("__lines")).withColumn("__n_removed", F.col("__n_lines") - size("__places"))
     left = F.array_join(F.transform("__places", lambda i: F.col("__lines")[i]), "\n")

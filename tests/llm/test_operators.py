@@ -124,6 +124,49 @@ def test_op2_all_pairs(spark, tricky):
     assert all(r["text"] == want[(r["doc_id"], r["original"])] for r in got)
 
 
+def test_op2_works_words_out_once(spark, tricky, monkeypatch):
+    """Words are counted and numbered once, compiled but for the lambdas; a text's key is worked out once a text, not once a line."""
+    calls = []
+    ranks = lines.frequencies
+    monkeypatch.setattr(lines, "frequencies", lambda x: calls.append(1) or ranks(x))
+    docs = spark.read.parquet(f"{tricky}/documents.parquet").select("doc_id", "text")
+    lines.kept_lines(docs).count()
+    assert len(calls) == 1
+    texts = lines.distinct_lines(docs)[1]
+    plan = lines.prefixes(lines.with_keys(texts, [1] * lines.COUNTERS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("sort_array") == 1
+    below = lines.split_lines(docs)._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[1]
+    assert "xxhash64" in below
+
+
+def test_op2_lines_about_the_long_ones(spark):
+    """Lines at, just below and just above the threshold, on both sides of the length from which signatures have two halves; some parted by rare spaces."""
+    rng = np.random.default_rng(3)
+    rows, near = [], 0
+    for k in range(260):
+        n = int(rng.integers(1, 12)) if k % 4 == 0 else int(rng.integers(lines._LONG - 18, lines._LONG + 22))
+        base = [f"w{x}" for x in rng.choice(4000, n, replace=False)]
+        gone, added = int(rng.integers(0, n // 5 + 2)), int(rng.integers(0, n // 5 + 2))
+        other = list(rng.permutation(base))[gone:] + [f"v{k}x{j}" for j in range(added)]
+        near += abs((n - gone) / (n + added) - 0.8) < 0.03
+        part = "\t" if k % 5 == 0 else "  " if k % 5 == 1 else " "
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, "a line of its own " + str(k) + "\n" + part.join(other))]
+    assert near > 20
+    seen, want = [], {}
+    for doc_id, text in rows:
+        keep = []
+        for line in text.split("\n"):
+            w = set(line.split())
+            if w and not any(9 * len(w & s) >= 4 * (len(w) + len(s)) for s in seen):
+                keep.append(line)
+            seen.append(w)
+        want[doc_id] = "\n".join(keep)
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    n_gone = sum(a.count("\n") + 1 > b.count("\n") + (b != "") for a, b in zip(dict(rows).values(), want.values()))
+    assert 60 < n_gone < 255
+
+
 def test_op3_same_as_sql_and_targets(spark, tricky):
     got = registry.QUERIES["op3_mix_sources"](spark, tricky).toPandas()
     con = duckdb.connect()
