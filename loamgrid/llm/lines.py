@@ -90,10 +90,11 @@ def plausible(a: str, b: str) -> Column:
     """Whether rows with a shared prefix word pass the length, positional and signature filters.
 
     With l words from the shared one on, at most min(l_a, l_b) are shared, so 9 * l >= 4 * (n_a + n_b) on both sides: u >= the
-    other's v. As l <= n, this is never so for sets whose sizes alone forbid it.
+    other's v. As l <= n, this is never so for sets whose sizes alone forbid it. Both comparisons are one, of the sign that two
+    differences have together: either alone comes out at random from pair to pair, which a processor can't foresee.
     """
     differ = f"if(({a}.v > {4 * _LONG}) = ({b}.v > {4 * _LONG}), bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2), bit_count({a}.s1 ^ {a}.s2 ^ {b}.s1 ^ {b}.s2))"
-    return F.expr(f"{a}.u >= {b}.v AND {b}.u >= {a}.v AND {differ} <= ({a}.v + {b}.v) div 4 - 2 * (({a}.v + {b}.v + 8) div 9)")
+    return F.expr(f"(({a}.u - {b}.v) | ({b}.u - {a}.v)) >= 0 AND {differ} <= ({a}.v + {b}.v) div 4 - 2 * (({a}.v + {b}.v + 8) div 9)")
 
 
 def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -135,7 +136,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     rows = prefixes(with_keys(texts, frequencies(texts)))
     rows = staged(rows.alias("a").join(rows.alias("b"), (F.col("a.tok") == F.col("b.tok")) & plausible("a", "b") & (F.col("a.num") != F.col("b.num")), "left_semi"), "line-prefixes")
     chosen = rows.select("num").distinct()
-    held = staged(texts.join(chosen.hint("merge"), "num", "left_semi").select("num", words().alias("words")), "line-held")
+    # Only numbers are held, and the texts need no sorting.
+    held = staged(texts.join(chosen.hint("shuffle_hash"), "num", "left_semi").select("num", words().alias("words")), "line-held")
     discard(texts)
     # 2. Each line against the earliest one with the same rare word: most that go, go here, one pair a word.
     earliest = rows.groupBy("tok").agg(F.min(F.struct("num", "u", "v", "s1", "s2")).alias("w"), F.count("*").alias("c")).where("c > 1").select("tok", "w.*")
@@ -159,7 +161,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs, columns = set_aside(docs.drop("__n_lines", "__n_removed"), "__nos", "__key", "__d", "__t", "__lines", "__places")
     kept = kept_lines(docs.select("doc_id", "text")).groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("__nos")).toDF("__d", "__t", "__nos")
     keyed = docs.withColumn("__key", _text_key())
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left").drop("__d", "__t", "__key")
+    # Numbers of lines, a small part of the texts, are held; the texts need no sorting.
+    joined = keyed.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left").drop("__d", "__t", "__key")
     joined = joined.withColumn("__lines", F.explode(F.array(F.split("text", "\n"))))  # explode keeps the split from being done at each use
     blank = F.filter(F.transform("__lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "", i)), lambda i: i.isNotNull())
     joined = joined.withColumn("__places", F.sort_array(F.array_union(blank, F.coalesce("__nos", F.array().cast("array<int>")))))

@@ -139,6 +139,26 @@ def test_op2_works_words_out_once(spark, tricky, monkeypatch):
     assert "xxhash64" in below
 
 
+def test_op2_sorts_no_texts_to_find_lines(spark, tricky, monkeypatch):
+    """Texts that meet chosen lines, and documents that meet what is kept of them, are not sorted for it; the filter by place is one comparison."""
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    staged = lines.staged
+    monkeypatch.setattr(lines, "staged", seen)
+    out = lines.without_repeats(spark.read.parquet(f"{tricky}/documents.parquet").select("doc_id", "text"))
+    assert "ShuffledHashJoin" in plans["line-held"] and "SortMergeJoin" not in plans["line-held"]
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    cases = [(u, v, x, y) for u in (0, 4, 5, 2**31 - 1) for v in (4, 5) for x in (0, 4, 5, 2**31 - 1) for y in (4, 5)]
+    sides = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, u int, v int, x int, y int")
+    a, b = sides.selectExpr("i", "u", "v", "0L AS s1", "0L AS s2").alias("a"), sides.selectExpr("i", "x AS u", "y AS v", "0L AS s1", "0L AS s2").alias("b")
+    got = {r.i for r in a.join(b, "i").where(lines.plausible("a", "b")).collect()}
+    assert got == {i for i, (u, v, x, y) in enumerate(cases) if u >= y and x >= v and (v + y) // 4 >= 2 * ((v + y + 8) // 9)}
+
+
 def test_op2_lines_about_the_long_ones(spark):
     """Lines at, just below and just above the threshold, on both sides of the length from which signatures have two halves; some parted by rare spaces."""
     rng = np.random.default_rng(3)
