@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BIN_M
@@ -236,15 +236,21 @@ def along(points: DataFrame) -> DataFrame:
     return got.withColumn("run_m", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_x", F.lead("x").over(w)).withColumn("next_y", F.lead("y").over(w)).withColumn("next_m", F.lead("step_m").over(w))
 
 
-def markers(points: DataFrame, every_m: float = 70 * 0.3048) -> DataFrame:
-    """Places every so many metres back from each path's end, with the path's direction there. A segment gives the marks that it holds, so nothing is joined."""
-    run = along(points)
-    total = F.max("run_m").over(Window.partitionBy("field_id", "path_id"))
-    seg = run.withColumn("total_m", total).where("next_m > 0")
-    first = F.ceil((c("total_m") - c("run_m") - c("next_m")) / every_m)
-    last = F.ceil((c("total_m") - c("run_m")) / every_m) - 1
-    seg = seg.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    share = (c("total_m") - c("k") * every_m - c("run_m")) / c("next_m")
+def markers(points: DataFrame, every_m: float = 21.336) -> DataFrame:
+    """Places every so many metres (70 feet) back from each path's end, with the path's direction there; at a bend, that of the step that begins there. A segment gives the marks that it holds, so nothing is joined."""
+    path = Window.partitionBy("field_id", "path_id")
+    seg = along(points).withColumn("total_m", F.max("run_m").over(path)).withColumn("next_run_m", F.lead("run_m").over(path.orderBy("point_no"))).where("next_m > 0")
+    mark = lambda k: c("total_m") - k * every_m
+
+    def last_from(at: str) -> Column:
+        """Number of the last mark not before a place. The marks themselves decide, not the rounded quotient: so neighbours agree on what is whose."""
+        k = F.floor((c("total_m") - c(at)) / every_m)
+        return F.when(mark(k + 1) >= c(at), k + 1).when(mark(k) < c(at), k - 1).otherwise(k)
+
+    first = F.when(c("next_run_m") >= c("total_m"), F.lit(0).cast("long")).otherwise(last_from("next_run_m") + 1)
+    last = F.when(c("run_m") > 0, last_from("run_m")).otherwise(F.ceil(c("total_m") / every_m) - 1)
+    seg = seg.withColumn("first", first).withColumn("last", last).where("last >= first").withColumn("k", F.explode(F.sequence("first", "last")))
+    share = (mark(c("k")) - c("run_m")) / c("next_m")
     return seg.select("field_id", "path_id", c("k").alias("marker_no"), (c("x") + share * (c("next_x") - c("x"))).alias("x"), (c("y") + share * (c("next_y") - c("y"))).alias("y"), geo.vector_heading(c("next_x") - c("x"), c("next_y") - c("y")).alias("heading_deg"))
 
 

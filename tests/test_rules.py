@@ -307,3 +307,14 @@ def test_reset_begins_anew(spark):
     assert [state[k] for k in (14, 15, 39, 40, 54, 55)] == ["Unstable", "Stable", "Stable", "Unstable", "Unstable", "Stable"] and state[69] == "Stable"
     plain = {r.event_id: r.state for r in live.quality_states(df.drop("reset")).collect()}
     assert plain[55] == "HighQuality"
+
+
+def test_marks_on_bends(spark):
+    """A mark that falls on a bend has the direction of the step behind it; 625 marks of 21.336 m end on one 5334 steps from the end."""
+    zigzag = "SELECT 0 AS field_id, {p} AS path_id, CAST(id AS INT) AS point_no, id % 2 * 2.0D AS x, id * 1.5D AS y FROM range({n})"
+    got = haul.markers(spark.sql(zigzag.format(p=0, n=6)), 5.0).orderBy("marker_no").collect()
+    assert [(r.marker_no, r.y) for r in got] == [(0, 7.5), (1, 4.5), (2, 1.5)]
+    east, west = math.degrees(math.atan2(2.0, 1.5)), 360 - math.degrees(math.atan2(2.0, 1.5))
+    assert np.allclose([r.heading_deg for r in got], [east, west, west])
+    far = haul.markers(spark.sql(zigzag.format(p=1, n=5337))).orderBy("marker_no").collect()
+    assert [r.marker_no for r in far] == list(range(626)) and abs(far[625].y - 3.0) < 1e-9 and abs(far[625].heading_deg - east) < 1e-9
