@@ -97,8 +97,12 @@ def volumes_by_band(cells: DataFrame) -> DataFrame:
 
 
 def neighbours(cells: DataFrame, diagonal: bool = True, *columns: str) -> DataFrame:
-    """(field_id, bx, by_, k, columns): each cell sent to the cells around it; k is the place, in the order of AROUND, of the sender as the receiver sees it."""
+    """(field_id, bx, by_, k, columns): each cell sent to the cells around it; k is the place, in the order of AROUND, of the sender as the receiver sees it.
+
+    Spark estimates a table's size by its compressed files and takes no account of an explode, so it would broadcast what is
+    joined here however large the grid is: the next join is told to merge.
+    """
     sides = [(k, dx, dy) for k, (dx, dy) in enumerate(AROUND) if diagonal or 0 in (dx, dy)]
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, dx, dy in sides])).alias("s")
     sent = cells.select("field_id", "bx", "by_", *columns, steps)
-    return sent.select("field_id", (F.col("bx") - F.col("s.dx")).alias("bx"), (F.col("by_") - F.col("s.dy")).alias("by_"), F.col("s.k").alias("k"), *columns)
+    return sent.select("field_id", (F.col("bx") - F.col("s.dx")).alias("bx"), (F.col("by_") - F.col("s.dy")).alias("by_"), F.col("s.k").alias("k"), *columns).hint("merge")

@@ -94,3 +94,12 @@ def test_near_dots_and_spikes(spark):
     pts[4] = (1, "interior", 4, 8.0, 0.0, 28.9)
     kept = clean.without_spikes(spark.createDataFrame(pts, "survey_id long, kind string, seq long, x double, y double, z double"))
     assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
+
+
+def test_neighbours_are_not_broadcast(spark, tmp_path):
+    """Tables whose files are small but whose neighbours are not: joins of cells with what is around them never build on the driver."""
+    spark.range(5000).selectExpr("0 AS field_id", "CAST(id % 50 AS INT) AS bx", "CAST(id DIV 50 AS INT) AS by_", "CAST(id * 7919 % 997 AS DOUBLE) AS z").write.parquet(f"{tmp_path}/dem")
+    dem = spark.read.parquet(f"{tmp_path}/dem")
+    flow = drainage.receivers(dem)
+    for df in (flow, drainage.d_infinity(dem), drainage.runoff_accumulated(flow), drainage.terminals(flow)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
