@@ -8,6 +8,7 @@ import pytest
 
 from loamgrid.constants import AROUND, MASTER_ELEVATION_M
 from loamgrid.operators import clean, drainage, haul, ledger, surface
+from loamgrid.plans import catalog
 from loamgrid.streaming import live
 
 
@@ -318,3 +319,13 @@ def test_marks_on_bends(spark):
     assert np.allclose([r.heading_deg for r in got], [east, west, west])
     far = haul.markers(spark.sql(zigzag.format(p=1, n=5337))).orderBy("marker_no").collect()
     assert [r.marker_no for r in far] == list(range(626)) and abs(far[625].y - 3.0) < 1e-9 and abs(far[625].heading_deg - east) < 1e-9
+
+
+def test_points_of_bins_are_numbered_by_path(spark, sf):
+    """Places are those in the path's order, and are known before bins meet their paths: nothing behind that join is moved or sorted."""
+    cells = spark.createDataFrame([(0, x, y, 2.0 - x % 2, 1.0) for x in range(4) for y in range(3)], "field_id int, bx int, by_ int, current double, target double")
+    points = spark.createDataFrame([(0, p, i * 7 % 10, 1.0 * i, 0.0) for p in range(4) for i in range(10)], "field_id int, path_id int, point_no int, x double, y double")
+    got = haul.path_of_bin(cells, cells.selectExpr("field_id", "bx", "by_", "bx AS path_id"), points)
+    assert "Window" not in catalog.QUERIES["T02_path_order"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    rows = got.collect()
+    assert len(rows) == 60 and all(r.place == r.point_no + 1 and r.path_id == r.bx and r.bx % 2 == 0 for r in rows)
